@@ -47,7 +47,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts over every whole text: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_caps, n_distinct, n_ended."""
+    """Counts over every whole text: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_distinct, n_caps, n_stops, n_letters, n_run_marks (ASCII marks in runs of one kind)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
 
@@ -70,6 +70,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return t.select(
         "doc_id", "c.n_words", "c.word_chars", removed(SYMBOLS).alias("n_symbols"), "c.n_dup_lines", "c.n_repeat_words",
         "c.n_lines", "c.n_distinct", removed("[A-Z]+").alias("n_caps"), removed("[.!?]+").alias("n_stops"),
+        removed("\\p{L}+").alias("n_letters"), removed("([!-/:-@\\[-`{-~])\\1+").alias("n_run_marks"),
     )
 
 
@@ -82,6 +83,7 @@ def default_rules() -> dict[str, Column]:
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     mean, symbols, caps = F.col("word_chars") / n, F.col("n_symbols") / n, F.col("n_caps") / chars
     lines, repeats = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), F.col("n_repeat_words") / n
+    letters, runs = F.col("n_letters") / chars, F.col("n_run_marks") / n
     distinct, stops = F.col("n_distinct") / n, F.col("n_stops") / n
     return {
         "length": rule(n, n.between(50, 100_000), n < 20),
@@ -91,6 +93,8 @@ def default_rules() -> dict[str, Column]:
         "repeats": rule(repeats, repeats <= 0.1, repeats > 0.3),
         "capitals": rule(caps, caps <= 0.1, caps > 0.3),
         "variety": rule(distinct, distinct >= 0.3, (distinct < 0.15) & (n < 2000)),
+        "letters": rule(letters, letters >= 0.93, letters < 0.9),
+        "mark_runs": rule(runs, runs <= 0.02, runs > 0.2),
         "stops": rule(stops, stops.between(0.005, 0.5), (stops < 0.001) & (n >= 50)),
     }
 

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.langid import identify_languages
+from sparkloom.llm.lm import score_documents
 from sparkloom.llm.mixing import mix_sources
 from sparkloom.llm.packing import pack_documents
 from sparkloom.llm.quality import quality_posteriors
 from sparkloom.llm.sharding import shard_documents
 from sparkloom.llm.simhash import simhash_components
+from sparkloom.llm.substring import repeated_passages
 from sparkloom.llm.topk import top_k_inner_products
 
 
@@ -32,6 +35,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -40,13 +47,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"))
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_topk, op3_sharding, op4_quality_rules, op6_best_fit_packing, op7_simhash, op10_source_mix)}
+    return {f.__name__: f for f in (op2_exact_topk, op3_sharding, op4_quality_rules, op5_language_id, op6_best_fit_packing, op7_simhash, op8_lm_scoring, op9_substring_dedup, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
