@@ -1,16 +1,20 @@
 """Language identification by compression with per-language dictionaries.
 
-For each language a raw-content zstandard dictionary is filled with a bounded sample
-of its labelled documents.  A text, cut into blocks so that its own history never
-outweighs the dictionaries, is compressed with each of them as a whole, and the
-language with the smallest sum wins.  The margin to the runner-up tells how sure
-that is; narrow margins are rejected.
+For each language a raw-content zstandard dictionary is filled from a bounded sample
+of its labelled documents: their words, as often as they occur and in random order,
+but for words of a single document, so that a copy with a wrong label doesn't match
+as a whole.  A text's letters, cut into blocks so that its own history never outweighs
+the dictionaries, are compressed with each of them to the end, and the language with
+the smallest sum wins.  The margin to the runner-up tells how sure that is; narrow
+margins are rejected.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import random
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,13 +26,28 @@ from pyspark.sql import Window as W
 from sparkloom.llm.text import fold
 
 UNKNOWN = "und"
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """Lower-case runs of letters, one space between."""
+    return _NO_LETTERS.sub(" ", text.lower()).strip()
+
+
+def dictionary(texts: list[str], size: int) -> bytes:
+    """Words of two texts or more, shuffled with a fixed seed; all words where no two texts share any."""
+    split = [letters(t).split() for t in texts]
+    texts_of = Counter(w for words in split for w in set(words))
+    words = [w for words in split for w in words if texts_of[w] > 1] or [w for words in split for w in words]
+    random.Random(1).shuffle(words)
+    return " ".join(words).encode("utf-8", "replace")[:size]
 
 
 class CompressionClassifier:
     """Dictionaries by language; compressors are made where they are used."""
 
-    def __init__(self, content: dict[str, bytes], block: int = 2048, level: int = 3, bytes_a_nat: float = 2.0):
-        self.content, self.block, self.level, self.bytes_a_nat = content, block, level, bytes_a_nat
+    def __init__(self, content: dict[str, bytes], block: int = 2048, bytes_a_nat: float = 2.0):
+        self.content, self.block, self.bytes_a_nat = content, block, bytes_a_nat
         self._ready: list[tuple[str, zstandard.ZstdCompressor]] = []
 
     def __getstate__(self) -> dict:
@@ -36,10 +55,15 @@ class CompressionClassifier:
 
     def _compressors(self) -> list[tuple[str, zstandard.ZstdCompressor]]:
         if not self._ready:
+            # Matches of four bytes: the words of a language are short.
+            how = zstandard.ZstdCompressionParameters(
+                window_log=17, chain_log=17, hash_log=17, search_log=4, min_match=4, target_length=32,
+                strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0,
+            )
             for lang in sorted(self.content):
                 raw = zstandard.ZstdCompressionDict(self.content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                raw.precompute_compress(level=self.level)
-                self._ready.append((lang, zstandard.ZstdCompressor(level=self.level, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)))
+                raw.precompute_compress(compression_params=how)
+                self._ready.append((lang, zstandard.ZstdCompressor(compression_params=how, dict_data=raw)))
         return self._ready
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
@@ -49,7 +73,7 @@ class CompressionClassifier:
         """
         if not self.content or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
-        raw = text.lower().encode("utf-8", "replace")
+        raw = letters(text).encode("utf-8", "replace")
         blocks = [raw[i : i + self.block] for i in range(0, len(raw), self.block)]
         sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in self._compressors())
         best, lang = sizes[0]
@@ -57,7 +81,7 @@ class CompressionClassifier:
         return lang, score, (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
-def learn(docs: DataFrame, docs_per_language: int = 200, dictionary_bytes: int = 112 * 1024, max_languages: int = 256) -> CompressionClassifier:
+def learn(docs: DataFrame, docs_per_language: int = 400, dictionary_bytes: int = 112 * 1024, max_languages: int = 256) -> CompressionClassifier:
     """Fit on a sample of labelled rows (doc_id, text, lang), bounded by the three numbers.
 
     The rows of a language with the least hashes are its sample; the most frequent
@@ -73,12 +97,12 @@ def learn(docs: DataFrame, docs_per_language: int = 200, dictionary_bytes: int =
     texts: dict[str, list[str]] = defaultdict(list)
     for r in sorted(sample.collect(), key=lambda r: (r["h"], r["text"])):
         texts[r["lang"]].append(r["text"])
-    content = {lang: " ".join(some).lower().encode("utf-8", "replace")[:dictionary_bytes] for lang, some in texts.items()}
+    content = {lang: dictionary(some, dictionary_bytes) for lang, some in texts.items()}
     return CompressionClassifier({lang: c for lang, c in content.items() if len(c) >= 8})
 
 
 def identify_languages(
-    docs: DataFrame, held_out_of: int = 4, held_out_fold: int = 2, least_margin: float = 0.005, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, held_out_of: int = 4, held_out_fold: int = 2, least_margin: float = 0.02, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang", **bounds: int,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin and rejected of every document.
