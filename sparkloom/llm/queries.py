@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import toxicity
 from sparkloom.llm.langid import identify_languages
 from sparkloom.llm.lm import score_documents
 from sparkloom.llm.mixing import mix_sources
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_inner_products(table(spark, sf_dir, "embeddings"))
 
@@ -61,7 +66,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_topk, op3_sharding, op4_quality_rules, op5_language_id, op6_best_fit_packing, op7_simhash, op8_lm_scoring, op9_substring_dedup, op10_source_mix)}
+    return {f.__name__: f for f in (op1_toxicity, op2_exact_topk, op3_sharding, op4_quality_rules, op5_language_id, op6_best_fit_packing, op7_simhash, op8_lm_scoring, op9_substring_dedup, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
