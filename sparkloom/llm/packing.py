@@ -1,8 +1,9 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm on islands.
 
-Tokens: a text's words between ASCII white space are tokenised once each and kept in
-a bounded table, since the tokeniser never joins across white space; the ids of a
-text are the joined ids of its words.
+Tokens: the tokeniser never joins across white space, nor a letter to the marks after
+it.  So the distinct words of a few megabytes of text, without their case and closing
+marks, are tokenised once, kept in a bounded table, and the ids of the texts are
+gathered from theirs.
 
 Packing: pieces are dealt by hash to shards of about ``shard_items``.  A shard starts
 from best-fit decreasing.  Where that misses the lower bound (by total length and by
@@ -24,12 +25,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.plans import written
 
 END_ID = 1
+#: Closing ASCII marks that the tokeniser cuts from a letter before them; not the apostrophe, which may begin a suffix.
+MARKS = ".,;:!?&*$%#|()-+=/\\\"<>[]{}@^_`~"
+_PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
 def default_tokenizer() -> str:
@@ -39,46 +45,93 @@ def default_tokenizer() -> str:
 
 
 class WordTokens:
-    """Little-endian 32-bit ids of texts, by words; the table of words is emptied at ``most``."""
+    """Ids of texts by their words; the table of words is emptied when it passes ``most``."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    _open: dict[str, WordTokens] = {}  # a worker serves many tasks
+
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode_batch_fast
-        self._known: dict[bytes, bytes] = {}
+        self._known: dict[str, bytes] = {"": b""}
         self._most = most
+        self._mark = self._encode(["0"], add_special_tokens=False)[0].ids
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
+
+    def _learn(self, words: list[str], at_once: int = 100_000) -> None:
+        """Tokenise many words as one text, parted by a digit, which is always a token of its own."""
+        plain = [w for w in words if "0" not in w]
+        for i in range(0, len(plain), at_once):
+            part = plain[i : i + at_once]
+            ids = np.array(self._encode([" 0 ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut, raw = np.flatnonzero(ids == self._mark[0]), ids.tobytes()
+            starts, ends = (4 * np.concatenate(([0], cut + 1))).tolist(), (4 * np.concatenate((cut, [len(ids)]))).tolist()
+            self._known.update(zip(part, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
+        odd = [w for w in words if "0" in w]
+        for w, e in zip(odd, self._encode(odd, add_special_tokens=False), strict=True):
+            self._known[w] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts``, joined, and how many each text has.  Nulls are empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
         if len(self._known) > self._most:
-            self._known.clear()
-        new = list({w for words in split for w in words} - self._known.keys())
-        for w, e in zip(new, self._encode([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-            self._known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self._known = {"": b""}
+        parts = []
+        for w in words.dictionary.to_pylist():
+            core = w.rstrip(MARKS)
+            if "<|" in w or not (core and core[-1].isalpha()):  # special tokens are known by their exact text
+                parts.append((w, ""))
+            else:
+                parts.append((core.lower() if core.isascii() else core, w[len(core) :]))
+        new = {x for pair in parts for x in pair} - self._known.keys()
+        self._learn(list(new))
         look = self._known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
-
-
-def _tokenised(path: str, capacity: int, keep_ids: bool, sub_bytes: int = 1 << 20):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, end = WordTokens(path), np.array([END_ID], dtype="<u4").tobytes()
+        values = [look(a) + look(b) for a, b in parts]
+        flat = np.frombuffer(b"".join(values), dtype="<u4")
+        length = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        start = np.cumsum(length) - length
+        index = words.indices.to_numpy()
+        sizes = length[index]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = flat[np.repeat(start[index] - ends[:-1], sizes) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(bounds)
+
+
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to about ``most``."""
+    begin, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        held += n
+        if held >= most or i + 1 == len(sizes):
+            yield begin, i + 1
+            begin, held = i + 1, 0
+
+
+def _tokenised(path: str, capacity: int, keep_ids: bool, schema: pa.Schema, at_once: int = 8 << 20):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, end = WordTokens.of(path), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
-            rows, texts, held = [], batch["text"].tolist(), 0
-            doc_ids = batch["doc_id"].tolist()
-            begin = 0
-            for i, t in enumerate(texts):
-                held += len(t or "")
-                if held < sub_bytes and i + 1 < len(texts):
-                    continue
-                for doc_id, ids in zip(doc_ids[begin : i + 1], tokens.ids(texts[begin : i + 1]), strict=True):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut), cut if keep_ids else None))
-                begin, held = i + 1, 0
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            yield out if keep_ids else out.drop(columns="ids")
+            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
+            for begin, stop in _slices(sizes, at_once):
+                ids, counts = tokens.ids(batch["text"][begin:stop])
+                raw, at, rows = memoryview(ids.tobytes()), 0, []
+                for doc_id, n in zip(batch["doc_id"][begin:stop].to_pylist(), counts.tolist(), strict=True):
+                    own = raw[4 * at : 4 * (at + n)]
+                    at += n
+                    for piece, first in enumerate(range(0, n + 1, capacity)):
+                        cut, last = own[4 * first : 4 * (first + capacity)], first + capacity > n
+                        crc = zlib.crc32(end, zlib.crc32(cut)) if last else zlib.crc32(cut)
+                        rows.append((doc_id, piece, first, len(cut) // 4 + last, crc, bytes(cut) + end * last if keep_ids else None))
+                columns = list(zip(*rows, strict=True))[: len(schema)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
@@ -266,8 +319,11 @@ def pack_documents(
     an empty table gives an empty result.  Sequence numbers may differ between runs.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    pieces = read.mapInPandas(_tokenised(tokenizer_file or default_tokenizer(), capacity, keep_ids), schema)
+    schema = _PIECES if keep_ids else pa.schema(list(_PIECES)[:-1])
+    pieces = read.mapInArrow(
+        _tokenised(tokenizer_file or default_tokenizer(), capacity, keep_ids, schema),
+        "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids,
+    )
     pieces = written(pieces.withColumn("uid", F.monotonically_increasing_id()), "pack-pieces")
     packed = pack_lengths(pieces.filter(F.col("length") < capacity).select("uid", F.col("length").cast("int").alias("length")), capacity, **search)
     full = pieces.filter(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
