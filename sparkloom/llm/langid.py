@@ -18,6 +18,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,3 +130,24 @@ def identify_languages(
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
     return read.drop("lang").mapInPandas(run, schema)
+
+
+def keep_identified(docs: DataFrame, least_margin: float = 0.02, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is told by ``least_margin`` or more.
+
+    Learns from all rows with a language.  Texts without a letter are rejected; if
+    no language can be learned, nothing can be told and all others stay.
+    """
+    model = learn(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), **bounds)
+
+    def kept(text: str | None) -> bool:
+        if not model.content:
+            return bool(text) and any(map(str.isalpha, text))
+        lang, _, margin = model.classify(text)
+        return lang != UNKNOWN and margin >= least_margin
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([kept(t) for t in batch[text_col].to_pylist()], type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -143,3 +143,16 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col:
     renamed = joined.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
     by_fp = distinct.join(renamed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of each component's least id, with all columns of ``docs``; of rows that repeat it, one.
+
+    Rows without an id stay, but for copies of the same text among them.
+    """
+    groups = simhash_components(docs, shingle, bits, id_col, text_col)
+    least = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    least = written(least.withColumnRenamed("doc_id", "kept_id"), "simhash-kept")
+    of = lambda keys: docs.join(keys.select("kept_id"), docs[id_col] == keys["kept_id"], "left_semi")
+    alone, repeated = of(least.filter("n = 1")), of(least.filter("n > 1")).dropDuplicates([id_col])
+    return alone.union(repeated).union(docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))
