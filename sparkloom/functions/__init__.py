@@ -1 +1 @@
-
+"""Column functions: missing values, named aggregates, timestamps and distributions."""
