@@ -139,9 +139,11 @@ def round(c: Column, freq: str, nanosecond: Column | None = None) -> Column:  #
     step, nanos = _step(freq), F.lit(0) if nanosecond is None else nanosecond
     if step == "N":
         return _with_nanos(micros(c), nanos)
-    ns, width = micros(c) * 1000 + nanos, STEPS[step] * 1000
-    half = ns + F.lit(width // 2)
-    return _shown(F.floor((half - F.pmod(half, F.lit(width))) / 1000).cast("long"), step)
+    if step == "U":
+        return _shown(micros(c) + (nanos >= 500).cast("long"), step)
+    # Half a larger step is whole microseconds, which nanoseconds cannot fill up.
+    half = micros(c) + F.lit(STEPS[step] // 2)
+    return _shown(half - F.pmod(half, F.lit(STEPS[step])), step)
 
 
 #: strftime codes and the patterns of the date formatter.
@@ -182,7 +184,7 @@ def parse(c: Column, day_first: bool = False) -> Column:
     num = lambda x: x.try_cast("int")
     at = lambda a, i: num(F.get(a, i))
     name = F.lower(F.regexp_extract(s, "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*", 1))
-    month_no = F.when(name != "", F.floor((F.locate(name, F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int"))
+    month_no = F.when(name != "", F.floor((F.position(name, F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int"))
     four = F.array_position(F.transform(digits, lambda d: F.char_length(d) == 4), True) - 1
     wide = F.when(four >= 0, four.cast("int"))
     two_digit = lambda y: y + F.when(y < 30, 2000).when(y < 100, 1900).otherwise(0)
