@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparkloom.llm.text import fold
+from sparkloom.llm.text import fold, in_pieces, slices
 
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -89,8 +89,12 @@ def learn(docs: DataFrame, docs_per_language: int = 400, dictionary_bytes: int =
     languages are learned.  Rows without id, text or language are passed over.
     """
     rows = docs.filter("doc_id is not null and lang is not null and text is not null")
-    frequent = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    ids = rows.filter(F.col("lang").isin(frequent)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    frequent = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    ids = rows.filter(F.col("lang").isin(list(frequent))).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
+    # The least hashes are found among those below a bound that some four times as many are expected to pass.
+    share = F.create_map(*[x for lang, n in frequent.items() for x in (F.lit(lang), F.lit(min(1.0, (4 * docs_per_language + 100) / n)))]) if frequent else None
+    if share is not None:
+        ids = ids.filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.element_at(share, F.col("lang")))
     least = W.partitionBy("lang").orderBy("h", "doc_id")
     chosen = ids.withColumn("rank", F.row_number().over(least)).filter(F.col("rank") <= docs_per_language).select("doc_id").distinct()
     # At most docs_per_language * max_languages ids.
@@ -120,16 +124,14 @@ def identify_languages(
     )
     model = learn(read.filter(~F.col("held_out")), **bounds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [model.classify(t) for t in batch["text"]]
-            out = pd.DataFrame(found, columns=["lang_pred", "score", "margin"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
-            out.insert(1, "held_out", batch["held_out"].array)
-            yield out.assign(rejected=(out["lang_pred"] == UNKNOWN) | (out["margin"] < least_margin))
+    def run(piece: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame([model.classify(t) for t in piece["text"]], columns=["lang_pred", "score", "margin"])
+        out.insert(0, "doc_id", piece["doc_id"].array)
+        out.insert(1, "held_out", piece["held_out"].array)
+        return out.assign(rejected=(out["lang_pred"] == UNKNOWN) | (out["margin"] < least_margin))
 
     schema = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
-    return read.drop("lang").mapInPandas(run, schema)
+    return in_pieces(read.drop("lang"), run, schema)
 
 
 def keep_identified(docs: DataFrame, least_margin: float = 0.02, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
@@ -147,7 +149,7 @@ def keep_identified(docs: DataFrame, least_margin: float = 0.02, id_col: str = "
         return lang != UNKNOWN and margin >= least_margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text_col):
             yield batch.filter(pa.array([kept(t) for t in batch[text_col].to_pylist()], type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -18,8 +18,6 @@ once, and their hashes alone would take more room than the texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -27,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import arrays
-from sparkloom.llm.text import fold, words_of
+from sparkloom.llm.text import fold, in_pieces, trim, words_of
 from sparkloom.plans.stored import new_path
 
 # No word holds white space, so these two cannot be words.
@@ -59,15 +57,6 @@ def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return first, second, sizes
 
 
-def _chunks(batch: pd.DataFrame, most: int = 8 << 20) -> Iterator[pd.DataFrame]:
-    held, begin = 0, 0
-    for i, t in enumerate(batch["text"]):
-        held += len(t or "")
-        if held >= most or i + 1 == len(batch):
-            yield batch.iloc[begin : i + 1]
-            held, begin = 0, i + 1
-
-
 def _summed(keys: tuple[np.ndarray, ...], values: dict[str, np.ndarray]) -> tuple[tuple[np.ndarray, ...], dict[str, np.ndarray]]:
     """Sorted distinct keys with added-up values."""
     order = np.lexsort(keys[::-1])
@@ -98,19 +87,17 @@ _PAIR_ROWS = "shard int, first binary, runs binary, second binary, count binary"
 
 
 def _counted(shards: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for chunk in _chunks(batch):
-                a, b, _ = pairs_of(chunk["text"].tolist())
-                (a, b), n = _summed((a, b), {"n": np.ones(len(a), dtype=np.int64)})
-                shard = (mixed(a, b & _SPREAD) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                rows = []
-                for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                    new = np.flatnonzero(np.concatenate(([True], a[at][1:] != a[at][:-1])))
-                    runs = np.diff(np.concatenate((new, [len(at)])))
-                    rows.append((int(shard[at[0]]), a[at][new].tobytes(), _narrow(runs), b[at].tobytes(), _narrow(n["n"][at])))
-                yield pd.DataFrame(rows, columns=["shard", "first", "runs", "second", "count"])
+    def run(piece: pd.DataFrame) -> pd.DataFrame:
+        a, b, _ = pairs_of(piece["text"].tolist())
+        (a, b), n = _summed((a, b), {"n": np.ones(len(a), dtype=np.int64)})
+        shard = (mixed(a, b & _SPREAD) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        rows = []
+        for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            new = np.flatnonzero(np.concatenate(([True], a[at][1:] != a[at][:-1])))
+            counts = np.diff(np.concatenate((new, [len(at)])))
+            rows.append((int(shard[at[0]]), a[at][new].tobytes(), _narrow(counts), b[at].tobytes(), _narrow(n["n"][at])))
+        return pd.DataFrame(rows, columns=["shard", "first", "runs", "second", "count"])
 
     return run
 
@@ -127,13 +114,19 @@ def _pair_shard(folder: str, word_shards: int):
         shard = int(group["shard"].iloc[0])
         arrays.save(folder, f"pairs-{shard}", key[order])
         arrays.save(folder, f"counts-{shard}", n[order].astype("<u4"))
-        zero = np.zeros(len(a), dtype=np.int64)
-        as_first = {"count": zero, "before": zero, "total": n, "once": n == 1, "twice": n == 2, "more": n > 2, "three": n == 3, "four": n == 4}
-        as_second = {f: zero for f in WORD_FIELDS} | {"count": n, "before": zero + 1}
-        (word,), facts = _summed((np.concatenate((a, b)),), {f: np.concatenate((as_first[f], as_second[f])).astype(np.int64) for f in WORD_FIELDS})
+        trim()
+        (firsts,), of_first = _summed((a,), {"total": n, **{f: (n == i).astype(np.int64) for f, i in (("once", 1), ("twice", 2), ("three", 3), ("four", 4))}, "more": (n > 2).astype(np.int64)})
+        (seconds,), of_second = _summed((b,), {"count": n, "before": np.ones(len(b), dtype=np.int64)})
+        word = np.union1d(firsts, seconds)
+        facts = {f: np.zeros(len(word), dtype=np.int64) for f in WORD_FIELDS}
+        for keys, some in ((firsts, of_first), (seconds, of_second)):
+            place = np.searchsorted(word, keys)
+            for f, v in some.items():
+                facts[f][place] = v
         to = (mixed(word, word) % np.uint64(word_shards)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         parts = np.split(order, np.flatnonzero(np.diff(to[order])) + 1)
+        trim()
         return pd.DataFrame([(int(to[p[0]]), word[p].tobytes(), *(_narrow(facts[f][p]) for f in WORD_FIELDS)) for p in parts], columns=["shard", "word", *WORD_FIELDS])
 
     return run
@@ -240,13 +233,13 @@ class KneserNey:
         })
 
 
-def train(docs: DataFrame, shard_bytes: int = 16 << 20) -> KneserNey:
+def train(docs: DataFrame, shard_bytes: int = 6 << 20) -> KneserNey:
     """Count the texts of ``docs`` (text) in shards for about ``shard_bytes`` of text each, and store the model."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     pair_shards = max(12, -(-int(size) // shard_bytes))
     word_shards = max(12, pair_shards // 2)
     folder = new_path(docs.sparkSession, "kneser-ney")
-    pairs = docs.select("text").mapInPandas(_counted(pair_shards), _PAIR_ROWS)
+    pairs = in_pieces(docs.select("text"), _counted(pair_shards), _PAIR_ROWS)
     words = pairs.groupBy("shard").applyInPandas(_pair_shard(folder, word_shards), _WORD_ROWS)
     totals = words.groupBy("shard").applyInPandas(_word_shard(folder), ", ".join(f"{f} long" for f in _TOTALS))
     found = totals.agg(*(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in _TOTALS)).first().asDict()
@@ -268,13 +261,11 @@ def score_documents(docs: DataFrame, held_out_of: int = 5, held_out_fold: int =
     )
     model = train(read.filter(~F.col("held_out")).select("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for chunk in _chunks(batch):
-                out = model.score(chunk["text"].tolist())
-                out.insert(0, "doc_id", chunk["doc_id"].array)
-                out.insert(1, "held_out", chunk["held_out"].array)
-                yield out.assign(train_tokens=model.totals["tokens"], perplexity=10.0 ** (-out["score"] / out["n_tokens"]))
+    def run(piece: pd.DataFrame) -> pd.DataFrame:
+        out = model.score(piece["text"].tolist())
+        out.insert(0, "doc_id", piece["doc_id"].array)
+        out.insert(1, "held_out", piece["held_out"].array)
+        return out.assign(train_tokens=model.totals["tokens"], perplexity=10.0 ** (-out["score"] / out["n_tokens"]))
 
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long, perplexity double"
-    return read.mapInPandas(run, columns).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    return in_pieces(read, run, columns).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -30,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.text import slices
 from sparkloom.plans import written
 
 END_ID = 1
@@ -49,7 +50,7 @@ class WordTokens:
 
     _open: dict[str, WordTokens] = {}  # a worker serves many tasks
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,33 +106,21 @@ class WordTokens:
         return ids, np.diff(bounds)
 
 
-def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose sizes add up to about ``most``."""
-    begin, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        held += n
-        if held >= most or i + 1 == len(sizes):
-            yield begin, i + 1
-            begin, held = i + 1, 0
-
-
-def _tokenised(path: str, capacity: int, keep_ids: bool, schema: pa.Schema, at_once: int = 8 << 20):
+def _tokenised(path: str, capacity: int, keep_ids: bool, schema: pa.Schema, at_once: int = 4 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = WordTokens.of(path), np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy()
-            for begin, stop in _slices(sizes, at_once):
-                ids, counts = tokens.ids(batch["text"][begin:stop])
-                raw, at, rows = memoryview(ids.tobytes()), 0, []
-                for doc_id, n in zip(batch["doc_id"][begin:stop].to_pylist(), counts.tolist(), strict=True):
-                    own = raw[4 * at : 4 * (at + n)]
-                    at += n
-                    for piece, first in enumerate(range(0, n + 1, capacity)):
-                        cut, last = own[4 * first : 4 * (first + capacity)], first + capacity > n
-                        crc = zlib.crc32(end, zlib.crc32(cut)) if last else zlib.crc32(cut)
-                        rows.append((doc_id, piece, first, len(cut) // 4 + last, crc, bytes(cut) + end * last if keep_ids else None))
-                columns = list(zip(*rows, strict=True))[: len(schema)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        for piece in slices(batches, most=at_once):
+            ids, counts = tokens.ids(piece["text"])
+            raw, at, rows = memoryview(ids.tobytes()), 0, []
+            for doc_id, n in zip(piece["doc_id"].to_pylist(), counts.tolist(), strict=True):
+                own = raw[4 * at : 4 * (at + n)]
+                at += n
+                for number, first in enumerate(range(0, n + 1, capacity)):
+                    cut, last = own[4 * first : 4 * (first + capacity)], first + capacity > n
+                    crc = zlib.crc32(end, zlib.crc32(cut)) if last else zlib.crc32(cut)
+                    rows.append((doc_id, number, first, len(cut) // 4 + last, crc, bytes(cut) + end * last if keep_ids else None))
+            columns = list(zip(*rows, strict=True))[: len(schema)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
-from sparkloom.llm.text import words_of
+from sparkloom.llm.text import in_pieces, words_of
 from sparkloom.plans import written
 
 BYTES = 8
@@ -50,10 +50,9 @@ def fingerprint(words: list[bytes], shingle: int, seed: int = 42) -> int:
 
 
 def _fingerprints(shingle: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.fromiter((fingerprint(words_of(t), shingle) for t in batch["text"]), dtype=np.uint64, count=len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": found.view(np.int64)})
+    def run(piece: pd.DataFrame) -> pd.DataFrame:
+        found = np.fromiter((fingerprint(words_of(t), shingle) for t in piece["text"]), dtype=np.uint64, count=len(piece))
+        return pd.DataFrame({"doc_id": piece["doc_id"], "fp": found.view(np.int64)})
 
     return run
 
@@ -133,7 +132,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col:
     an empty table gives an empty result.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(read.mapInPandas(_fingerprints(shingle), "doc_id long, fp long"), "simhash-rows")
+    rows = written(in_pieces(read, _fingerprints(shingle), "doc_id long, fp long"), "simhash-rows")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     postings = distinct.select("fp", F.explode(_keys(F.col("fp"), bits)).alias("key")).groupBy("key.positions", "key.bytes").agg(F.collect_list("fp").alias("members"))
     links = postings.filter(F.size("members") > 1).select("members").mapInPandas(_verified(bits), "a long, b long")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.text import fold
+from sparkloom.llm.text import fold, in_pieces
 
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~“”„«»‘’¡¿…–—"
 QUOTES = "\"“”„«»"
@@ -286,9 +286,8 @@ def score_documents(
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = train(read, labels.select("doc_id", "toxic", held_out).filter("not held_out").drop("held_out"), sample_docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            score = np.array([model.score(t) for t in batch["text"]], dtype=np.float64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "held_out": batch["held_out"].array, "score": score, "predicted": (score >= threshold).astype("int32")})
+    def run(piece: pd.DataFrame) -> pd.DataFrame:
+        score = np.array([model.score(t) for t in piece["text"]], dtype=np.float64)
+        return pd.DataFrame({"doc_id": piece["doc_id"].array, "held_out": piece["held_out"].array, "score": score, "predicted": (score >= threshold).astype("int32")})
 
-    return read.select("doc_id", held_out, "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_pieces(read.select("doc_id", held_out, "text"), run, "doc_id long, held_out boolean, score double, predicted int")
