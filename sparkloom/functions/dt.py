@@ -59,6 +59,11 @@ def is_month_end(c: Column) -> Column:
     return F.to_date(c) == F.last_day(c)
 
 
+def now(tz: str = "UTC") -> Column:
+    """The time of the query in a time zone of the tz database."""
+    return F.from_utc_timestamp(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), tz).cast("timestamp_ntz")
+
+
 def from_parts(year: Column, month: Column, day: Column, hour: Column | None = None, minute: Column | None = None, second: Column | None = None) -> Column:
     """From year, month and day, all of them needed, and a time; null where no such moment is."""
     hour, minute, second = (F.lit(0) if x is None else x for x in (hour, minute, second))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from sparkloom.functions.helpers import Series
 from sparkloom.functions.missing import is_missing
 from sparkloom.plans import with_ordinal
 
@@ -111,6 +112,14 @@ class Frame:
         objects = frozenset(f"c{j}" for j, k in enumerate(kinds) if k is None)
         return cls(spark.createDataFrame(cells, T.StructType(fields)), labels, objects, ix is None)
 
+    @classmethod
+    def from_series(cls, spark: SparkSession, series: Sequence[Series], columns: Sequence[Any] | None = None) -> Frame:
+        """A column for each series; labels that some lack leave gaps."""
+        index = list(dict.fromkeys(x for s in series for x in s.index))
+        held = [dict(zip(s.index, s.values, strict=True)) for s in series]
+        labels = [s.name if s.name is not None else j for j, s in enumerate(series)] if columns is None else list(columns)
+        return cls.from_rows(spark, [[h.get(x, NAN) for h in held] for x in index], labels, index)
+
     @classmethod
     def from_table(cls, df: DataFrame, order_by: Sequence[str], index: str | None = None) -> Frame:
         """A table in the order of some columns; ``index`` names the column of row labels."""
@@ -431,6 +440,8 @@ class Frame:
         spark = self.df.sparkSession
         if isinstance(rows, Frame):
             more = rows
+        elif isinstance(rows, Series):
+            more = Frame.from_rows(spark, [rows.values], rows.index, [rows.name] if rows.name is not None and index is None else index)
         elif isinstance(rows, Mapping):
             if not ignore_index and index is None:
                 raise ValueError("a mapping has no row labels: pass index or ignore_index")
