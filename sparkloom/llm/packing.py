@@ -2,7 +2,7 @@
 
 Tokens: the tokeniser never joins across white space, nor a letter to the marks after
 it.  So the distinct words of a few megabytes of text, without their case and closing
-marks, are tokenised once, kept in a bounded table, and the ids of the texts are
+marks, are tokenised once and kept in a bounded table, and the ids of the texts are
 gathered from theirs.
 
 Packing: pieces are dealt by hash to shards of about ``shard_items``.  A shard starts
@@ -45,17 +45,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` that begin at ``start``, joined, and where each ends."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start - (ends - size), size) + np.arange(total)], ends
+
+
 class WordTokens:
-    """Ids of texts by their words; the table of words is emptied when it passes ``most``."""
+    """Ids of texts by their words.
+
+    Known words are kept in two generations of at most ``most``: when the younger is full
+    it takes the elder's place, and words that are met again move to the new one.
+    """
 
     _open: dict[str, WordTokens] = {}  # a worker serves many tasks
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._encode = Tokenizer.from_file(path).encode_batch_fast
-        self._known: dict[str, bytes] = {"": b""}
+        self._young: dict[str, bytes] = {}
+        self._elder: dict[str, bytes] = {}
         self._most = most
         self._mark = self._encode(["0"], add_special_tokens=False)[0].ids
 
@@ -65,48 +77,65 @@ class WordTokens:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _learn(self, words: list[str], at_once: int = 100_000) -> None:
-        """Tokenise many words as one text, parted by a digit, which is always a token of its own."""
+    def _tokenise(self, words: list[str], at_once: int = 100_000) -> Iterator[tuple[str, bytes]]:
+        """Many words as one text, parted by a digit, which is always a token of its own."""
         plain = [w for w in words if "0" not in w]
         for i in range(0, len(plain), at_once):
             part = plain[i : i + at_once]
             ids = np.array(self._encode([" 0 ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut, raw = np.flatnonzero(ids == self._mark[0]), ids.tobytes()
             starts, ends = (4 * np.concatenate(([0], cut + 1))).tolist(), (4 * np.concatenate((cut, [len(ids)]))).tolist()
-            self._known.update(zip(part, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
+            yield from zip(part, (raw[a:b] for a, b in zip(starts, ends, strict=True)), strict=True)
         odd = [w for w in words if "0" in w]
         for w, e in zip(odd, self._encode(odd, add_special_tokens=False), strict=True):
-            self._known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            yield w, np.array(e.ids, dtype="<u4").tobytes()
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Joined ids of distinct words, and how many each has."""
+        if len(self._young) > self._most:
+            self._elder, self._young = self._young, {}
+        young, elder = self._young, self._elder
+        unknown = []
+        for w in words:
+            if w not in young:
+                found = elder.get(w)
+                if found is None:
+                    unknown.append(w)
+                else:
+                    young[w] = found
+        young.update(self._tokenise(unknown))
+        values = [young[w] for w in words]
+        return np.frombuffer(b"".join(values), dtype="<u4"), np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, joined, and how many each text has.  Nulls are empty."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
-        if len(self._known) > self._most:
-            self._known = {"": b""}
-        parts = []
-        for w in words.dictionary.to_pylist():
-            core = w.rstrip(MARKS)
-            if "<|" in w or not (core and core[-1].isalpha()):  # special tokens are known by their exact text
-                parts.append((w, ""))
-            else:
-                parts.append((core.lower() if core.isascii() else core, w[len(core) :]))
-        new = {x for pair in parts for x in pair} - self._known.keys()
-        self._learn(list(new))
-        look = self._known.__getitem__
-        values = [look(a) + look(b) for a, b in parts]
-        flat = np.frombuffer(b"".join(values), dtype="<u4")
-        length = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-        start = np.cumsum(length) - length
-        index = words.indices.to_numpy()
-        sizes = length[index]
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = flat[np.repeat(start[index] - ends[:-1], sizes) + np.arange(ends[-1])]
-        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        distinct = words.dictionary
+        core = pc.utf8_rtrim(distinct, MARKS)
+        # Special tokens are known by their exact text; marks are a run of their own only after a letter.
+        apart = pc.and_(pc.utf8_is_alpha(pc.utf8_slice_codeunits(core, -1)), pc.invert(pc.match_substring(distinct, "<|")))
+        core = pc.if_else(apart, pc.ascii_lower(core), distinct)
+        held, full = pc.binary_length(core).to_numpy(zero_copy_only=False), pc.binary_length(distinct).to_numpy(zero_copy_only=False)
+        closing = [w.encode()[n:].decode() for w, n in zip(distinct.take(pa.array(np.flatnonzero(held != full))).to_pylist(), held[held != full].tolist(), strict=True)]
+        tail = np.full(len(distinct), "", dtype=object)
+        tail[held != full] = closing
+        core, tail = core.dictionary_encode(), pa.array(tail, type=pa.string()).dictionary_encode()
+        n_core = len(core.dictionary)
+        flat, size = self._of_words(core.dictionary.to_pylist() + tail.dictionary.to_pylist())
+        start = np.cumsum(size) - size
+        # The ids of a distinct word are those of its core and then of its marks.
+        pieces = np.stack((core.indices.to_numpy(zero_copy_only=False), n_core + tail.indices.to_numpy(zero_copy_only=False)), axis=1).ravel() if len(distinct) else np.empty(0, dtype=np.int64)
+        flat, ends = _gathered(flat, start[pieces], size[pieces])
+        size = size[pieces].reshape(-1, 2).sum(1)
+        start = np.concatenate(([0], ends))[:-1:2] if len(ends) else ends
+        index = words.indices.to_numpy(zero_copy_only=False)
+        ids, ends = _gathered(flat, start[index], size[index])
+        bounds = np.concatenate(([0], ends))[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return ids, np.diff(bounds)
 
 
-def _tokenised(path: str, capacity: int, keep_ids: bool, schema: pa.Schema, at_once: int = 4 << 20):
+def _tokenised(path: str, capacity: int, keep_ids: bool, schema: pa.Schema, at_once: int = 8 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = WordTokens.of(path), np.array([END_ID], dtype="<u4").tobytes()
         for piece in slices(batches, most=at_once):
@@ -155,6 +184,20 @@ def best_fit(items: list[int], lengths: list[int], capacity: int, bins: list[lis
     return bins
 
 
+def improved(items: list[int], lengths: list[int], capacity: int, bins: list[list[int]]) -> list[int]:
+    """Fill bins up by trading a longer loose item for a shorter one inside; what is loose afterwards."""
+    loose = sorted(items, key=lambda i: -lengths[i])
+    for b in bins:
+        room = capacity - sum(lengths[i] for i in b)
+        if not room or not loose:
+            continue
+        best = max(((lengths[u] - lengths[v], -x, -y) for x, u in enumerate(loose) for y, v in enumerate(b) if 0 < lengths[u] - lengths[v] <= room), default=None)
+        if best is not None:
+            x, y = -best[1], -best[2]
+            loose[x], b[y] = b[y], loose[x]
+    return loose
+
+
 def _fills(bins: list[list[int]], lengths: list[int]) -> np.ndarray:
     return np.array([sum(lengths[i] for i in b) for b in bins], dtype=np.int64)
 
@@ -167,20 +210,21 @@ def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> float:
 def crossover(one: list[list[int]], other: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """Inject well-filled bins of ``other`` into ``one``, drop bins with duplicates, best-fit the displaced."""
     fills = _fills(other, lengths)
-    good = np.flatnonzero(fills >= np.quantile(fills, 0.5))
-    injected = [other[k] for k in rng.choice(good, size=max(1, int(len(good) * rng.uniform(0.2, 0.8))), replace=False)]
+    good = np.flatnonzero(fills >= np.quantile(fills, rng.uniform(0.3, 0.9)))
+    injected = [other[k] for k in rng.choice(good, size=max(1, int(len(good) * rng.uniform(0.3, 1.0))), replace=False)]
     inside = {i for b in injected for i in b}
     kept = [b for b in one if inside.isdisjoint(b)]
     displaced = [i for b in one if not inside.isdisjoint(b) for i in b if i not in inside]
-    return best_fit(displaced, lengths, capacity, [list(b) for b in injected] + [list(b) for b in kept])
+    bins = [list(b) for b in injected] + [list(b) for b in kept]
+    return best_fit(improved(displaced, lengths, capacity, bins), lengths, capacity, bins)
 
 
 def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
     """Dissolve the emptiest bin and a few others, and best-fit what they held."""
-    gone = {int(np.argmin(_fills(bins, lengths))), *rng.choice(len(bins), size=min(len(bins), 1 + len(bins) // 20), replace=False).tolist()}
+    gone = {int(np.argmin(_fills(bins, lengths))), *rng.choice(len(bins), size=min(len(bins), 2 + len(bins) // 20), replace=False).tolist()}
     items = [i for k in gone for i in bins[k]]
-    rng.shuffle(items)
-    return best_fit(items, lengths, capacity, [list(b) for k, b in enumerate(bins) if k not in gone])
+    kept = [list(b) for k, b in enumerate(bins) if k not in gone]
+    return best_fit(improved(items, lengths, capacity, kept), lengths, capacity, kept)
 
 
 def evolve(population: list[list[list[int]]], lengths: list[int], capacity: int, bound: int, generations: int, rng: np.random.Generator, size: int = 6) -> list[list[list[int]]]:
@@ -242,12 +286,13 @@ def _evolved(capacity: int, generations: int, epoch: int):
     return run
 
 
-def _islands(missed: DataFrame, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
-    """Best packing found for each shard that missed its bound."""
+def _islands(missed: DataFrame, n_missed: int, capacity: int, islands: int, epochs: int, generations: int) -> DataFrame:
+    """Best packing found for each shard that missed its bound; islands are dealt evenly to up to 4096 tasks."""
+    tasks = min(4096, islands * n_missed)
     schema = "shard int, uids binary, lengths binary, bound int, island int, elite array<binary>, n_bins int"
     now = missed.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elite", F.array("bins"))
     for epoch in range(epochs):
-        dealt = now.select("shard", "uids", "lengths", "bound", "island", "elite", "n_bins").repartition("shard", "island")
+        dealt = now.select("shard", "uids", "lengths", "bound", "island", "elite", "n_bins").repartition(tasks, "shard", "island")
         now = written(dealt.mapInPandas(_evolved(capacity, generations, epoch), schema), "pack-islands")
         if epoch + 1 < epochs:  # the elite moves on round the ring
             sent = now.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.slice("elite", 1, 1).alias("guest"))
@@ -282,8 +327,8 @@ def pack_lengths(items: DataFrame, capacity: int = 4096, shard_items: int = 4096
         seeded = written(dealt.groupBy("shard").applyInPandas(_seeded(capacity), "shard int, uids binary, lengths binary, bins binary, n_bins int, bound int"), "pack-seeded")
         missed = seeded.filter("n_bins > bound")
         packed = seeded.filter("n_bins <= bound").select("shard", "uids", "lengths", "bins")
-        if not missed.isEmpty():
-            packed = packed.union(_islands(missed, capacity, islands, epochs, generations))
+        if n_missed := missed.count():
+            packed = packed.union(_islands(missed, n_missed, capacity, islands, epochs, generations))
         placed = packed.mapInPandas(_placed(capacity), "uid long, length long, shard int, bin int, offset long, emptiest boolean")
         numbered = F.lit(level << 56).bitwiseOR(F.shiftleft(F.col("shard").cast("long"), 20)).bitwiseOR(F.col("bin").cast("long"))
         if shards == 1:
