@@ -1,7 +1,7 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
 
 Counting: each task turns its documents into pairs of 64-bit word hashes, counts
-equal pairs, and sends them to shards by the pair's first word and sixteen classes
+equal pairs, and sends them to shards by the pair's first word and eight classes
 of its second, so a frequent word is spread and its copies are counted before they
 travel.  A shard adds up its pairs, stores them as a sorted array of pair hashes with
 counts, and sends on what it knows of each word (occurrences, distinct words before
@@ -31,7 +31,7 @@ from sparkloom.plans.stored import new_path
 # No word holds white space, so these two cannot be words.
 START, END = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b" start", b" end"))
 WORD_FIELDS = ("count", "before", "total", "once", "twice", "more", "three", "four")
-_SPREAD = np.uint64(15)
+_SPREAD = np.uint64(7)
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,7 +233,7 @@ class KneserNey:
         })
 
 
-def train(docs: DataFrame, shard_bytes: int = 6 << 20) -> KneserNey:
+def train(docs: DataFrame, shard_bytes: int = 8 << 20) -> KneserNey:
     """Count the texts of ``docs`` (text) in shards for about ``shard_bytes`` of text each, and store the model."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     pair_shards = max(12, -(-int(size) // shard_bytes))
