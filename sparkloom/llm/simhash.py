@@ -133,15 +133,21 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col:
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(in_pieces(read, _fingerprints(shingle), "doc_id long, fp long"), "simhash-rows")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     postings = distinct.select("fp", F.explode(_keys(F.col("fp"), bits)).alias("key")).groupBy("key.positions", "key.bytes").agg(F.collect_list("fp").alias("members"))
     links = postings.filter(F.size("members") > 1).select("members").mapInPandas(_verified(bits), "a long, b long")
     named = written(components(links), "simhash-components")
     joined = named.join(distinct, named["node"] == distinct["fp"]).select("node", "root", "least")
     roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     renamed = joined.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    by_fp = distinct.join(renamed, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_fp = written(distinct.join(renamed, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "simhash-groups")
+    # Fingerprints with over a thousandth of all rows, so fewer than a thousand, go to the rows; others meet them in a shuffle.
+    total = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = F.col("n") > max(1, total // 1000)
+    frequent = F.broadcast(by_fp.filter(many).select("fp", "component_id"))
+    found = rows.join(frequent, "fp").select("doc_id", "fp", "component_id")
+    rest = rows.join(frequent, "fp", "left_anti").join(by_fp.filter(~many), "fp").select("doc_id", "fp", "component_id")
+    return found.union(rest).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +157,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: s
     """
     groups = simhash_components(docs, shingle, bits, id_col, text_col)
     least = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    least = written(least.withColumnRenamed("doc_id", "kept_id"), "simhash-kept")
-    of = lambda keys: docs.join(keys.select("kept_id"), docs[id_col] == keys["kept_id"], "left_semi")
+    least = written(least.withColumnRenamed("doc_id", "__kept_id"), "simhash-kept")
+    of = lambda keys: docs.join(keys.select("__kept_id"), docs[id_col] == keys["__kept_id"], "left_semi")
     alone, repeated = of(least.filter("n = 1")), of(least.filter("n > 1")).dropDuplicates([id_col])
     return alone.union(repeated).union(docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))
