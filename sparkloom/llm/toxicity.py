@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -190,17 +189,15 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30))))
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Toxic and other documents of a batch that hold each word and each beginning of four to ten letters."""
-    for batch in batches:
-        counts = {0: Counter(), 1: Counter()}
-        for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            words = set(plain_words(text))
-            terms = {w for w in words if len(w) >= 3}
-            terms.update(w[:n] + "*" for w in words for n in range(4, min(10, len(w)) + 1))
-            counts[int(toxic)].update(terms)
-        terms = list(counts[1])  # a term of no toxic document is no candidate, however many others hold it
-        yield pd.DataFrame({"term": terms, "toxic": [counts[1][t] for t in terms], "other": [counts[0][t] for t in terms]})
+def _counted(piece: pd.DataFrame) -> pd.DataFrame:
+    """Toxic documents of a piece that hold each word and each beginning of four to ten letters."""
+    count: Counter = Counter()
+    for text in piece["text"]:
+        words = set(plain_words(text))
+        terms = {w for w in words if len(w) >= 3}
+        terms.update(w[:n] + "*" for w in words for n in range(4, min(10, len(w)) + 1))
+        count.update(terms)
+    return pd.DataFrame(list(count.items()), columns=["term", "toxic"])
 
 
 def choose_terms(counts: list[tuple[str, int, int]], toxic: int, other: int, surely: float = 1.5, most: int = 2000) -> dict[str, float]:
@@ -236,31 +233,28 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> Toxi
     sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
-    counted = sample.mapInPandas(_counted, "term string, toxic long, other long")
-    # Batches leave out terms that none of their toxic documents holds, so others are counted for candidates only.
-    frequent = counted.groupBy("term").agg(F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= max(5, n_toxic // 400)).select("term", "toxic")
-    lows = frequent.orderBy(F.desc("toxic"), "term").limit(100_000).collect()
-    candidates = {r["term"]: r["toxic"] for r in lows}
-
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = frozenset(candidates)
-        for batch in batches:
-            count: Counter = Counter()
-            for text in batch["text"]:
-                words = set(plain_words(text))
-                terms = {w for w in words if w in known}
-                terms.update(t for w in words for n in range(4, min(10, len(w)) + 1) if (t := w[:n] + "*") in known)
-                count.update(terms)
-            yield pd.DataFrame({"term": list(count), "other": list(count.values())})
-
-    other = {r["term"]: r["other"] for r in sample.filter("toxic = 0").mapInPandas(others, "term string, other long").groupBy("term").agg(F.sum("other").alias("other")).collect()}
+    counted = in_pieces(sample.filter("toxic = 1").select("text"), _counted, "term string, toxic long")
+    frequent = counted.groupBy("term").agg(F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= max(5, n_toxic // 400))
+    candidates = {r["term"]: r["toxic"] for r in frequent.orderBy(F.desc("toxic"), "term").limit(100_000).collect()}
+
+    def others(piece: pd.DataFrame) -> pd.DataFrame:
+        """Other documents of a piece that hold each candidate."""
+        count: Counter = Counter()
+        for text in piece["text"]:
+            words = set(plain_words(text))
+            terms = {w for w in words if w in candidates}
+            terms.update(t for w in words for n in range(4, min(10, len(w)) + 1) if (t := w[:n] + "*") in candidates)
+            count.update(terms)
+        return pd.DataFrame(list(count.items()), columns=["term", "other"])
+
+    counted = in_pieces(sample.filter("toxic = 0").select("text"), others, "term string, other long")
+    other = {r["term"]: r["other"] for r in counted.groupBy("term").agg(F.sum("other").alias("other")).collect()}
     lexicon = Lexicon(choose_terms([(t, n, other.get(t, 0)) for t, n in candidates.items()], n_toxic, n_other))
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"x": [list(features(t, lexicon)) for t in batch["text"]], "toxic": batch["toxic"]})
+    def measured(piece: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(list(features(t, lexicon)), toxic) for t, toxic in zip(piece["text"], piece["toxic"], strict=True)], columns=["x", "toxic"])
 
-    rows = sample.mapInPandas(measured, "x array<double>, toxic int").collect()
+    rows = in_pieces(sample, measured, "x array<double>, toxic int").collect()
     x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES))
     y = np.array([r["toxic"] for r in rows], dtype=np.float64)
     centre, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
