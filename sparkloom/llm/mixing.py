@@ -161,16 +161,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken of them, rounded down.
     """
     mix = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    taken = mix.taken().groupBy(F.col("doc_id").alias("its_id"), F.col("tie").alias("its_tie"), F.col("idx").alias("its_idx"), F.col("size").alias("its_size"))
-    taken = taken.agg(F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("its_taken")).filter("its_taken > 0")
-    taken = taken.join(mix.targets.select(F.col("idx").alias("its_idx"), F.col("source").alias("its_source")), "its_idx")
-    same = docs[id_col].eqNullSafe(F.col("its_id")) & (F.xxhash64(docs[text_col]) == F.col("its_tie")) & docs[source_col].eqNullSafe(F.col("its_source"))
-    passes, rest = F.floor(F.col("its_taken") / F.col("its_size")), F.col("its_taken") % F.col("its_size")
+    taken = mix.taken().groupBy(F.col("doc_id").alias("__its_id"), F.col("tie").alias("__its_tie"), F.col("idx").alias("__its_idx"), F.col("size").alias("__its_size"))
+    taken = taken.agg(F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("__its_taken")).filter("__its_taken > 0")
+    taken = taken.join(mix.targets.select(F.col("idx").alias("__its_idx"), F.col("source").alias("__its_source")), "__its_idx")
+    same = docs[id_col].eqNullSafe(F.col("__its_id")) & (F.xxhash64(docs[text_col]) == F.col("__its_tie")) & docs[source_col].eqNullSafe(F.col("__its_source"))
+    passes, rest = F.floor(F.col("__its_taken") / F.col("__its_size")), F.col("__its_taken") % F.col("__its_size")
     # One entry a copy: -1 for a whole text, else how many of its words.
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), passes.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    rows = docs.join(taken, same).withColumn("its_words", F.explode(copies))
-    some = F.array_join(F.slice(words_column(F.col(text_col)), F.lit(1), F.greatest(F.col("its_words"), F.lit(0)).cast("int")), " ")
-    rows = rows.withColumn(text_col, F.when(F.col("its_words") < 0, F.col(text_col)).otherwise(some))
+    rows = docs.join(taken, same).withColumn("__its_words", F.explode(copies))
+    some = F.array_join(F.slice(words_column(F.col(text_col)), F.lit(1), F.greatest(F.col("__its_words"), F.lit(0)).cast("int")), " ")
+    rows = rows.withColumn(text_col, F.when(F.col("__its_words") < 0, F.col(text_col)).otherwise(some))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
