@@ -53,7 +53,7 @@ def with_chunk(df: DataFrame, order_by: Sequence[str], size: int, name: str = "c
     """Adds the number of the chunk of ``size`` rows in the given order."""
     if size <= 0:
         raise ValueError("chunks have a row or more")
-    return with_ordinal(df, order_by, "__place").withColumn(name, F.floor(F.col("__place") / size).cast("long")).drop("__place")
+    return with_ordinal(df, order_by, "__chunk_place").withColumn(name, F.floor(F.col("__chunk_place") / size).cast("long")).drop("__chunk_place")
 
 
 def weighted_quantile_of(values: Sequence[float], weights: Sequence[float], qs: Sequence[float]) -> list[float]:

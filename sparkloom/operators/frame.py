@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 
 from sparkloom.functions.helpers import Series
 from sparkloom.functions.missing import is_missing
+from sparkloom.operators.frame_math import FrameMath
 from sparkloom.plans import with_ordinal
 
 ORD, IX = "__ord", "__ix"
@@ -72,7 +73,7 @@ def expand_indices(spec: Sequence[int | Sequence[int]] | None) -> list[int] | No
     return [i for s in spec for i in (range(s[0], s[1] + 1) if isinstance(s, Sequence) else (s,))]
 
 
-class Frame:
+class Frame(FrameMath):
     def __init__(self, df: DataFrame, labels: Sequence[Any], objects: frozenset[str] = frozenset(), coded: bool = False):
         self.df, self.labels, self.objects, self.coded = df, list(labels), objects, coded
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from sparkloom.plans.stored import written
 
-PART, ORD = "__part", "__ord"
+PART, ORD, PLACE = "__part", "__ord", "__place"
 
 
 def ranged(df: DataFrame, order_by: Sequence[str | Column]) -> DataFrame:
@@ -80,9 +80,9 @@ def sliding(
         window = W.partitionBy(*partition_by).orderBy(*order_by).rowsBetween(-before, after)
         return df.withColumns(columns(window))
     size = max(block, before + after + 1)
-    numbered = with_ordinal(df, order_by)
-    first, last = F.floor((F.col(ORD) - after) / size), F.floor((F.col(ORD) + before) / size)
+    numbered = with_ordinal(df, order_by, PLACE)
+    first, last = F.floor((F.col(PLACE) - after) / size), F.floor((F.col(PLACE) + before) / size)
     lent = numbered.withColumn("__block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-    window = W.partitionBy("__block").orderBy(ORD).rowsBetween(-before, after)
-    framed = lent.withColumns(columns(window)).filter(F.col("__block") == F.floor(F.col(ORD) / size))
-    return framed.drop("__block", ORD)
+    window = W.partitionBy("__block").orderBy(PLACE).rowsBetween(-before, after)
+    framed = lent.withColumns(columns(window)).filter(F.col("__block") == F.floor(F.col(PLACE) / size))
+    return framed.drop("__block", PLACE)
