@@ -61,7 +61,7 @@ class WordTokens:
 
     _open: dict[str, WordTokens] = {}  # a worker serves many tasks
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
