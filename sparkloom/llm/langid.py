@@ -85,20 +85,21 @@ class CompressionClassifier:
 def learn(docs: DataFrame, docs_per_language: int = 400, dictionary_bytes: int = 112 * 1024, max_languages: int = 256) -> CompressionClassifier:
     """Fit on a sample of labelled rows (doc_id, text, lang), bounded by the three numbers.
 
-    The rows of a language with the least hashes are its sample; the most frequent
-    languages are learned.  Rows without id, text or language are passed over.
+    The rows of a language with the least hashes are its sample, each text up to its
+    share of eight dictionaries; the most frequent languages are learned.  Rows without id, text or language are passed over.
     """
     rows = docs.filter("doc_id is not null and lang is not null and text is not null")
     frequent = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     ids = rows.filter(F.col("lang").isin(list(frequent))).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
     # The least hashes are found among those below a bound that some four times as many are expected to pass.
-    share = F.create_map(*[x for lang, n in frequent.items() for x in (F.lit(lang), F.lit(min(1.0, (4 * docs_per_language + 100) / n)))]) if frequent else None
-    if share is not None:
-        ids = ids.filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.element_at(share, F.col("lang")))
+    passed = F.create_map(*[x for lang, n in frequent.items() for x in (F.lit(lang), F.lit(min(1.0, (4 * docs_per_language + 100) / n)))]) if frequent else None
+    if passed is not None:
+        ids = ids.filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.element_at(passed, F.col("lang")))
     least = W.partitionBy("lang").orderBy("h", "doc_id")
     chosen = ids.withColumn("rank", F.row_number().over(least)).filter(F.col("rank") <= docs_per_language).select("doc_id").distinct()
-    # At most docs_per_language * max_languages ids.
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, dictionary_bytes).alias("text"))
+    # At most docs_per_language * max_languages ids, and so much of each text that the driver gets eight dictionaries a language.
+    share = max(1, 8 * dictionary_bytes // docs_per_language)
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, share).alias("text"))
     texts: dict[str, list[str]] = defaultdict(list)
     for r in sorted(sample.collect(), key=lambda r: (r["h"], r["text"])):
         texts[r["lang"]].append(r["text"])
