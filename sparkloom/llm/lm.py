@@ -32,6 +32,7 @@ from sparkloom.plans.stored import new_path
 START, END = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b" start", b" end"))
 WORD_FIELDS = ("count", "before", "total", "once", "twice", "more", "three", "four")
 _SPREAD = np.uint64(7)
+MOST_TASKS = 100_000
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def _pair_shard(folder: str, word_shards: int):
         order = np.argsort(key, kind="stable")
         shard = int(group["shard"].iloc[0])
         arrays.save(folder, f"pairs-{shard}", key[order])
-        arrays.save(folder, f"counts-{shard}", n[order].astype("<u4"))
+        arrays.save(folder, f"counts-{shard}", np.frombuffer(_narrow(n[order]), dtype=np.uint8))
         trim()
         (firsts,), of_first = _summed((a,), {"total": n, **{f: (n == i).astype(np.int64) for f, i in (("once", 1), ("twice", 2), ("three", 3), ("four", 4))}, "more": (n > 2).astype(np.int64)})
         (seconds,), of_second = _summed((b,), {"count": n, "before": np.ones(len(b), dtype=np.int64)})
@@ -141,7 +142,7 @@ def _word_shard(folder: str):
         shard = int(group["shard"].iloc[0])
         arrays.save(folder, f"words-{shard}", word)
         for f in ("count", "before", "total", "once", "twice", "more"):
-            arrays.save(folder, f"{f}-{shard}", facts[f].astype("<i8"))
+            arrays.save(folder, f"{f}-{shard}", np.frombuffer(_narrow(facts[f]), dtype=np.uint8))
         before = facts["before"]
         return pd.DataFrame(
             [(
@@ -174,35 +175,37 @@ class KneserNey:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_open": {}}
 
-    def _array(self, name: str, dtype: str) -> np.ndarray:
+    def _array(self, name: str, narrow: bool) -> np.ndarray:
+        """Sorted hashes, or numbers in the width that their first byte tells."""
         if name not in self._open:
             try:
-                self._open[name] = arrays.load(self.folder, name, dtype)
+                found = arrays.load(self.folder, name, np.uint8 if narrow else "<u8")
             except FileNotFoundError:  # a shard to which nothing was sent
-                self._open[name] = np.empty(0, dtype=dtype)
+                found = np.empty(0, dtype=np.uint64)
+            self._open[name] = found[1:].view(f"<u{found[0]}") if narrow and len(found) else found
         return self._open[name]
 
-    def _look(self, sorted_name: str, shard: np.ndarray, keys: np.ndarray, fields: dict[str, str]) -> dict[str, np.ndarray]:
+    def _look(self, sorted_name: str, shard: np.ndarray, keys: np.ndarray, fields: tuple[str, ...]) -> dict[str, np.ndarray]:
         """Values of distinct keys, 0 where they are unknown."""
         out = {f: np.zeros(len(keys), dtype=np.int64) for f in fields}
         order = np.lexsort((keys, shard))
         for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(keys) else []:
             s = int(shard[at[0]])
-            known = self._array(f"{sorted_name}-{s}", "<u8")
+            known = self._array(f"{sorted_name}-{s}", False)
             if len(known):
                 place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
                 hit = known[place] == keys[at]
-                for f, dtype in fields.items():
-                    out[f][at[hit]] = self._array(f"{f}-{s}", dtype)[place[hit]]
+                for f in fields:
+                    out[f][at[hit]] = self._array(f"{f}-{s}", True)[place[hit]]
         return out
 
     def words(self, words: np.ndarray) -> dict[str, np.ndarray]:
-        fields = {f: "<i8" for f in ("count", "before", "total", "once", "twice", "more")}
+        fields = ("count", "before", "total", "once", "twice", "more")
         return self._look("words", (mixed(words, words) % np.uint64(self.word_shards)).astype(np.int64), words, fields)
 
     def pair_counts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         shard = (mixed(a, b & _SPREAD) % np.uint64(self.pair_shards)).astype(np.int64)
-        return self._look("pairs", shard, mixed(a, b), {"counts": "<u4"})["counts"]
+        return self._look("pairs", shard, mixed(a, b), ("counts",))["counts"]
 
     def score(self, texts: list[str | None]) -> pd.DataFrame:
         """n_tokens, n_known, base_score and score of each text."""
@@ -236,12 +239,13 @@ class KneserNey:
 def train(docs: DataFrame, shard_bytes: int = 8 << 20) -> KneserNey:
     """Count the texts of ``docs`` (text) in shards for about ``shard_bytes`` of text each, and store the model."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    pair_shards = max(12, -(-int(size) // shard_bytes))
-    word_shards = max(12, pair_shards // 2)
+    pair_shards = max(32, -(-int(size) // shard_bytes))
+    word_shards = max(32, pair_shards // 2)
     folder = new_path(docs.sparkSession, "kneser-ney")
     pairs = in_pieces(docs.select("text"), _counted(pair_shards), _PAIR_ROWS)
-    words = pairs.groupBy("shard").applyInPandas(_pair_shard(folder, word_shards), _WORD_ROWS)
-    totals = words.groupBy("shard").applyInPandas(_word_shard(folder), ", ".join(f"{f} long" for f in _TOTALS))
+    # As many tasks as shards, however few partitions the session asks for.
+    words = pairs.repartition(min(pair_shards, MOST_TASKS), "shard").groupBy("shard").applyInPandas(_pair_shard(folder, word_shards), _WORD_ROWS)
+    totals = words.repartition(min(word_shards, MOST_TASKS), "shard").groupBy("shard").applyInPandas(_word_shard(folder), ", ".join(f"{f} long" for f in _TOTALS))
     found = totals.agg(*(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in _TOTALS)).first().asDict()
     return KneserNey(folder, pair_shards, word_shards, found)
 
