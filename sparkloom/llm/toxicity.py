@@ -4,7 +4,10 @@ Lexicon: words, and word beginnings, that labelled toxic documents hold much mor
 often than others.  It is a trie, and a Levenshtein automaton is run over all of it at
 once: a state is the set of trie nodes reached with the errors spent on each, and
 states and steps are built when first needed, so a word costs a table look-up for
-each of its letters until no term can match any more.
+each of its letters until no term can match any more.  Whole words are kept beside
+beginnings that are as good, for beginnings are too short to allow errors; two
+neighbours swapped are one error, and a word gets no more errors than leave it rare in
+other documents.
 
 Context: each match looks at the words around it.  Quotation marks on both sides make
 it quoted, further matches near it make it part of a cluster.  Weights of plain,
@@ -35,38 +38,46 @@ def plain_words(text: str | None) -> list[str]:
 
 
 def errors_allowed(term: str) -> int:
-    return 0 if len(term) < 6 else 1 if len(term) < 11 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 11 else 2
+
+
+def most_errors(term: str) -> int:
+    """Errors that a learned term may get: by the length of a whole word, and none for short beginnings."""
+    return 0 if term.endswith("*") and len(term) < 7 else errors_allowed(term.rstrip("*"))
+
+
+def swapped(letters: str) -> set[str]:
+    """A word with two neighbouring letters changed over, in all ways."""
+    return {letters[:i] + letters[i + 1] + letters[i] + letters[i + 2 :] for i in range(len(letters) - 1)} - {letters}
 
 
 class Lexicon:
-    """Terms with weights; a term ending in ``*`` matches every word that begins with it."""
+    """Terms with weights; a term ending in ``*`` matches every word that begins with it.
+
+    ``allowed`` gives the errors of terms, ``errors_allowed`` those of others; with
+    ``swaps`` two neighbours changed over in a whole word are one error.
+    """
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = dict(sorted(weights.items()))
+    def __init__(self, weights: dict[str, float], allowed: dict[str, int] | None = None, swaps: bool = False):
+        self.weights, self.allowed, self.swaps = dict(sorted(weights.items())), allowed or {}, swaps
         self._build()
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights}
+        return {"weights": self.weights, "allowed": self.allowed, "swaps": self.swaps}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["weights"])
+        self.__init__(**state)
 
     def _build(self) -> None:
         self._next: list[dict[str, int]] = [{}]
-        self._ends: list[list[tuple[str, float, int, bool]]] = [[]]
+        self._ends: list[list[tuple[str, float, int, int, bool]]] = [[]]
         self._most = [0]
         for term, weight in self.weights.items():
-            letters, node, allowed = term.rstrip("*"), 0, errors_allowed(term.rstrip("*"))
-            self._most[0] = max(self._most[0], allowed)
-            for c in letters:
-                if c not in self._next[node]:
-                    self._next[node][c] = len(self._next)
-                    self._next.append({})
-                    self._ends.append([])
-                    self._most.append(0)
-                node = self._next[node][c]
-                self._most[node] = max(self._most[node], allowed)
-            self._ends[node].append((term, weight, allowed, term.endswith("*")))
+            letters, stem = term.rstrip("*"), term.endswith("*")
+            allowed = self.allowed.get(term, errors_allowed(letters))
+            self._enter(letters, (term, weight, allowed, 0, stem))
+            for other in sorted(swapped(letters)) if self.swaps and allowed and not stem else ():
+                self._enter(other, (term, weight, allowed - 1, 1, stem))
         self._states: list[tuple[tuple[int, int], ...]] = []
         self._number: dict[tuple[tuple[int, int], ...], int] = {}
         self._steps: list[dict[str, int]] = []
@@ -75,6 +86,20 @@ class Lexicon:
         self._start = self._state({0: 0})
         self._known: dict[str, tuple[float, int]] = {}
 
+    def _enter(self, letters: str, end: tuple[str, float, int, int, bool]) -> None:
+        """Put a term into the trie: its weight, errors left to spend, errors spent by its spelling, and if it is a beginning."""
+        node, left = 0, end[2]
+        self._most[0] = max(self._most[0], left)
+        for c in letters:
+            if c not in self._next[node]:
+                self._next[node][c] = len(self._next)
+                self._next.append({})
+                self._ends.append([])
+                self._most.append(0)
+            node = self._next[node][c]
+            self._most[node] = max(self._most[node], left)
+        self._ends[node].append(end)
+
     def _state(self, reached: dict[int, int]) -> int:
         """The number of a set of (node, errors), after the letters that a word may leave out; -1 if it is empty."""
         todo = list(reached.items())
@@ -91,7 +116,7 @@ class Lexicon:
             self._number[key] = len(self._states)
             self._states.append(key)
             self._steps.append({})
-            hits = [(w, -e, stem) for node, e in key for _, w, allowed, stem in self._ends[node] if e <= allowed]
+            hits = [(w, -e - spelt, stem) for node, e in key for _, w, left, spelt, stem in self._ends[node] if e <= left]
             self._whole.append(max(((w, e) for w, e, _ in hits), default=(0.0, 0), key=lambda h: (h[1], h[0])))
             self._stem.append(max(((w, e) for w, e, stem in hits if stem), default=(0.0, 0), key=lambda h: (h[1], h[0])))
         return self._number[key]
@@ -139,8 +164,22 @@ class Lexicon:
         return found
 
 
-def features(text: str | None, lexicon: Lexicon, window: int = 8) -> tuple[float, ...]:
-    """The numbers of FEATURES for one text."""
+    def within(self, word: str) -> dict[str, int]:
+        """All terms that match a word, and the fewest errors of each."""
+        state, found = self._start, {}
+        for n, c in enumerate(word, 1):
+            state = self._step(state, c)
+            if state < 0:
+                break
+            for node, e in self._states[state]:
+                for term, _, left, spelt, stem in self._ends[node]:
+                    if e <= left and (stem or n == len(word)):
+                        found[term] = min(e + spelt, found.get(term, 99))
+        return found
+
+
+def features(text: str | None, lexicon: Lexicon, window: int = 8, garbled: bool = False) -> tuple[float, ...]:
+    """The numbers of FEATURES for one text; ``garbled`` takes all its matches for misspelled ones."""
     words = plain_words(text)
     match = lexicon.match
     hits = [(i, *m) for i, m in enumerate(map(match, words)) if m[0]]
@@ -154,7 +193,7 @@ def features(text: str | None, lexicon: Lexicon, window: int = 8) -> tuple[float
         near = (n and i - hits[n - 1][0] <= window) or (n + 1 < len(hits) and hits[n + 1][0] - i <= window)
         if marked:
             quoted += weight
-        elif errors:
+        elif errors or garbled:
             misspelled += weight
         else:
             plain += weight
@@ -200,32 +239,77 @@ def _counted(piece: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(list(count.items()), columns=["term", "toxic"])
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic: int, other: int, surely: float = 1.5, most: int = 2000) -> dict[str, float]:
+SURELY = 1.5
+
+
+def rate(t: int, o: int, toxic: int, other: int) -> tuple[float, float]:
+    """The log odds that a term's ``t`` of ``toxic`` and ``o`` of ``other`` documents surely have, and those they have."""
+    odds = math.log((t + 0.5) / (toxic + 1)) - math.log((o + 0.5) / (other + 1))
+    return odds - 2 * math.sqrt(1 / (t + 0.5) + 1 / (o + 0.5)), odds
+
+
+def choose_terms(counts: list[tuple[str, int, int]], toxic: int, other: int, surely: float = SURELY, most: int = 2000) -> dict[str, float]:
     """Weights, log odds of document shares, of terms whose odds are surely high; at most ``most``.
 
-    A term is passed over if a shorter beginning of it is as good.
+    A beginning is passed over if a shorter one is as good; a whole word never is, for
+    only its length tells how many errors it allows.
     """
-    rated = {}
-    for term, t, o in counts:
-        odds = math.log((t + 0.5) / (toxic + 1)) - math.log((o + 0.5) / (other + 1))
-        low = odds - 2 * math.sqrt(1 / (t + 0.5) + 1 / (o + 0.5))
-        if low > surely:
-            rated[term] = (low, odds)
+    rated = {term: r for term, t, o in counts if (r := rate(t, o, toxic, other))[0] > surely}
     kept: dict[str, float] = {}
     for term in sorted(rated, key=lambda t: (len(t.rstrip("*")), not t.endswith("*"), t)):
         letters = term.rstrip("*")
         shorter = [letters[:n] + "*" for n in range(1, len(letters) + (not term.endswith("*")))]
-        if all(rated[term][0] > rated[s][0] + 0.3 for s in shorter if s in kept):
+        if not term.endswith("*") or all(rated[term][0] > rated[s][0] + 0.3 for s in shorter if s in kept):
             kept[term] = rated[term][1]
     return {t: kept[t] for t in sorted(kept, key=lambda t: (-rated[t][0], t))[:most]}
 
 
+def choose_errors(terms: dict[str, float], candidates: dict[str, int], near: dict[tuple[str, int], int], toxic: int, other: int) -> dict[str, int]:
+    """Errors that each term allows.
+
+    A term gets the most of ``errors_allowed`` with which its odds stay high, and surely
+    so: ``near`` counts the other documents whose nearest word is that many errors off.
+    Beginnings under six letters get none.
+    """
+    out = {}
+    for term in terms:
+        allowed = most_errors(term)
+        while allowed:
+            low, odds = rate(candidates[term], sum(near.get((term, e), 0) for e in range(allowed + 1)), toxic, other)
+            if low > SURELY and odds > 2 * SURELY:
+                break
+            allowed -= 1
+        out[term] = allowed
+    return out
+
+
+def near_documents(docs: DataFrame, lexicon: Lexicon) -> dict[tuple[str, int], int]:
+    """How many documents there are by each term and the errors of the nearest word they hold."""
+
+    def neared(piece: pd.DataFrame) -> pd.DataFrame:
+        count: Counter = Counter()
+        known: dict[str, dict[str, int]] = {}
+        for text in piece["text"]:
+            least: dict[str, int] = {}
+            for w in set(plain_words(text)):
+                found = known.get(w)
+                if found is None:
+                    found = known[w] = lexicon.within(w)
+                for term, e in found.items():
+                    least[term] = min(e, least.get(term, 99))
+            count.update(least.items())
+        return pd.DataFrame([(t, e, n) for (t, e), n in count.items()], columns=["term", "errors", "other"])
+
+    counted = in_pieces(docs, neared, "term string, errors int, other long")
+    return {(r["term"], r["errors"]): r["other"] for r in counted.groupBy("term", "errors").agg(F.sum("other").alias("other")).collect()}
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> ToxicityModel:
     """Fit on at most ``sample_docs`` labelled documents, those with the least hashes of their ids.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic.  A document with several
     labels is toxic if one says so.  Words are counted in the executors; the driver gets
-    counts of frequent terms and eight numbers a sampled document.
+    counts of frequent terms and twice eight numbers a sampled document.
     """
     toxic = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     chosen = toxic.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_docs).drop("h")
@@ -249,10 +333,22 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> Toxi
 
     counted = in_pieces(sample.filter("toxic = 0").select("text"), others, "term string, other long")
     other = {r["term"]: r["other"] for r in counted.groupBy("term").agg(F.sum("other").alias("other")).collect()}
-    lexicon = Lexicon(choose_terms([(t, n, other.get(t, 0)) for t, n in candidates.items()], n_toxic, n_other))
-
+    terms = choose_terms([(t, n, other.get(t, 0)) for t, n in candidates.items()], n_toxic, n_other)
+    others_only = sample.filter("toxic = 0").select("text")
+    # Errors only add to a term's other documents: what has too many among a few needs no look at all of them.
+    near = {(t, 0): n for t, n in other.items()}
+    for few in (others_only.limit(200), others_only):
+        allowed = choose_errors(terms, candidates, near, n_toxic, n_other)
+        near = near_documents(few, Lexicon({t: terms[t] for t, e in allowed.items() if e}, allowed, swaps=True))
+        near |= {(t, 0): max(near.get((t, 0), 0), other.get(t, 0)) for t in terms}
+        # More errors than were looked for stay ruled out.
+        near |= {(t, e + 1): n_other for t, e in allowed.items()}
+    lexicon = Lexicon(terms, choose_errors(terms, candidates, near, n_toxic, n_other), swaps=True)
+
+    # Few training documents hold misspelled terms: each is also fitted as if its terms were, or they would weigh nothing.
     def measured(piece: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(list(features(t, lexicon)), toxic) for t, toxic in zip(piece["text"], piece["toxic"], strict=True)], columns=["x", "toxic"])
+        rows = [(list(features(t, lexicon, garbled=g)), toxic) for t, toxic in zip(piece["text"], piece["toxic"], strict=True) for g in (False, True)]
+        return pd.DataFrame(rows, columns=["x", "toxic"])
 
     rows = in_pieces(sample, measured, "x array<double>, toxic int").collect()
     x = np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES))

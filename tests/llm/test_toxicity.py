@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm.toxicity import Lexicon, errors_allowed, features, logistic, score_documents
+from sparkloom.llm.toxicity import Lexicon, errors_allowed, features, logistic, score_documents, train
 
 
 def distance(a, b):
@@ -89,6 +89,25 @@ def test_held_out(spark, make):
     assert {r["doc_id"]: r["score"] for r in score_documents(docs, turned).collect()} == pytest.approx({i: r["score"] for i, r in out.items()})
 
 
+def test_misspelled_copies_of_learned_terms(spark, make):
+    """No training document holds a misspelled term; "knive" is a word of other documents."""
+    rng, bad, rows, labels = random.Random(3), ["scamp", "oafs", "villainous", "knave"], [], []
+    for i in range(600):
+        words = [f"w{rng.randrange(400)}" for _ in range(60)]
+        for _ in range(3 if i % 5 == 0 else 0):
+            words[rng.randrange(60)] = rng.choice(bad)
+        if i % 5 == 1:
+            words[0] = "knive"
+        rows.append((i, " ".join(words), "en", "s"))
+        labels.append((i, int(i % 5 == 0)))
+    model = train(make(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    for word in ("scmap", "scanp", "scmp", "sccamp", "ofas", "ofs", "vlilainous", "vilainous"):
+        assert model.lexicon.match(word)[0] > 0 and model.lexicon.match(word)[1] == 1, word
+    assert model.lexicon.match("knave")[1] == 0 < model.lexicon.match("knave")[0] and model.lexicon.match("knive") == (0.0, 0)
+    other = [f"w{n}" for n in range(57)]
+    assert model.score(" ".join(["scmap", *other, "vilainous", "ofas"])) >= 0.7 > 0.3 > model.score(" ".join(["knive", *other, "w57", "w58"]))
+
+
 def test_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (5, 0), (None, 1), (6, None), (99, 1)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
     rows = score_documents(odd, labels).collect()
