@@ -1,11 +1,12 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm on islands.
 
 Tokens: the tokeniser never joins across white space, nor a letter to the marks after
-it.  So the distinct words of a few megabytes of text, without their case and closing
+it, but for letters that it takes apart.  So the distinct words of a few megabytes of text, without their case and closing
 marks, are tokenised once and kept in a bounded table, and the ids of the texts are
 gathered from theirs.
 
-Packing: pieces are dealt by hash to shards of about ``shard_items``.  A shard starts
+Packing: pieces are dealt by hash to shards of about ``shard_items``, or of
+``shard_bins`` sequences where that is more.  A shard starts
 from best-fit decreasing.  Where that misses the lower bound (by total length and by
 the pieces that cannot share a sequence), islands evolve the shard's packing as
 tasks of their own: crossover injects the other parent's well-filled bins whole,
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import os
 import zlib
+import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import reduce
@@ -45,6 +47,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def stands_alone(c: str) -> bool:
+    """If marks after a letter are tokenised apart from it: not where its lower case is a letter and a combining mark."""
+    return c.isalpha() and len(unicodedata.normalize("NFC", c.lower())) == 1
+
+
 def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``flat`` that begin at ``start``, joined, and where each ends."""
     ends = np.cumsum(size)
@@ -114,7 +121,9 @@ class WordTokens:
         distinct = words.dictionary
         core = pc.utf8_rtrim(distinct, MARKS)
         # Special tokens are known by their exact text; marks are a run of their own only after a letter.
-        apart = pc.and_(pc.utf8_is_alpha(pc.utf8_slice_codeunits(core, -1)), pc.invert(pc.match_substring(distinct, "<|")))
+        last = pc.utf8_slice_codeunits(core, -1).dictionary_encode()
+        alone = pa.array([stands_alone(c) for c in last.dictionary.to_pylist()], type=pa.bool_()).take(last.indices)
+        apart = pc.and_(alone, pc.invert(pc.match_substring(distinct, "<|")))
         core = pc.if_else(apart, pc.ascii_lower(core), distinct)
         held, full = pc.binary_length(core).to_numpy(zero_copy_only=False), pc.binary_length(distinct).to_numpy(zero_copy_only=False)
         closing = [w.encode()[n:].decode() for w, n in zip(distinct.take(pa.array(np.flatnonzero(held != full))).to_pylist(), held[held != full].tolist(), strict=True)]
@@ -317,12 +326,16 @@ def _placed(capacity: int):
     return run
 
 
-def pack_lengths(items: DataFrame, capacity: int = 4096, shard_items: int = 4096, islands: int = 3, epochs: int = 2, generations: int = 12) -> DataFrame:
-    """(uid, sequence_id, offset) for items (uid long, length int from 1 to ``capacity``); uids are distinct."""
+def pack_lengths(items: DataFrame, capacity: int = 4096, shard_items: int = 4096, shard_bins: int = 32, islands: int = 3, epochs: int = 2, generations: int = 12) -> DataFrame:
+    """(uid, sequence_id, offset) for items (uid long, length int from 1 to ``capacity``); uids are distinct.
+
+    A shard has items for ``shard_bins`` bins or more, so giving one up leaves a small part
+    for the next level.
+    """
     done, level, left = [], 0, items.select("uid", "length")
     while True:
-        n = left.count()
-        shards = max(1, -(-n // shard_items))
+        n, total = left.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        shards = max(1, min(-(-n // shard_items), total // (capacity * shard_bins)))
         dealt = left.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)).cast("int"))
         seeded = written(dealt.groupBy("shard").applyInPandas(_seeded(capacity), "shard int, uids binary, lengths binary, bins binary, n_bins int, bound int"), "pack-seeded")
         missed = seeded.filter("n_bins > bound")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from sparkloom.llm.packing import WordTokens, best_fit, crossover, default_tokenizer, evolve, lower_bound, mutate, pack_documents, pack_lengths
+from sparkloom.llm.packing import MARKS, WordTokens, best_fit, crossover, default_tokenizer, evolve, lower_bound, mutate, pack_documents, pack_lengths
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +108,25 @@ def test_odd(odd, none):
     assert sorted(firsts, key=str) == sorted((r["doc_id"] for r in odd.select("doc_id").collect()), key=str)
     assert [r["length"] for r in rows if r["doc_id"] in (2, 3, 4)] == [1, 1, 1]
     assert pack_documents(none).count() == 0
+
+
+def test_letters_before_marks(tokenizer):
+    """Every letter of Unicode, in both cases of a word, before every mark."""
+    letters = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha() and not 0x3400 <= ord(c) < 0xA000 and not 0xAC00 <= ord(c) < 0xD7A4 and ord(c) < 0x20000]
+    words = [w for n, c in enumerate(letters) for w in (c + MARKS[n % len(MARKS)], "a" + c + MARKS[(n // 7) % len(MARKS)] + MARKS[n % 5])]
+    words += [c + m for c in "İक़य़हয়়ড়ﬁשּǅ" for m in MARKS] + ["হয়.", "परे़.", "LİMİ.", "İ:"]
+    tokens = WordTokens(default_tokenizer())
+    ids, counts = tokens.ids(pa.array(words))
+    ends = np.cumsum(counts)
+    want = tokenizer.encode_batch(words, add_special_tokens=False)
+    assert [w for w, a, b, e in zip(words, ends - counts, ends, want, strict=True) if ids[a:b].tolist() != e.ids] == []
+
+
+@pytest.mark.parametrize("n", [5000, 20_000])
+def test_short_texts_end(make, spark, n):
+    """Where a shard of pieces would fit one sequence, levels still shrink."""
+    docs = spark.range(n).selectExpr("id as doc_id", "cast(null as string) as text")
+    rows = pack_documents(docs).collect()
+    assert len(rows) == n and len({r["sequence_id"] for r in rows}) == -(-n // 4096)
+    items = spark.range(n).selectExpr("id as uid", "cast(1 + id % 3 as int) as length")
+    assert len({r["sequence_id"] for r in pack_lengths(items, 64, shard_items=256).collect()}) <= 1 + -(-2 * n // 64)
