@@ -1,9 +1,9 @@
 """Language identification by compression with per-language dictionaries.
 
 For each language a raw-content zstandard dictionary is filled from a bounded sample
-of its labelled documents: their words, as often as they occur and in random order,
-but for words of a single document, so that a copy with a wrong label doesn't match
-as a whole.  A text's letters, cut into blocks so that its own history never outweighs
+of its labelled documents: words of their whole texts, counted in the executors, in
+proportion to how often they occur and in random order, but for words of a single
+document, so that a copy with a wrong label doesn't match as a whole.  A text's letters, cut into blocks so that its own history never outweighs
 the dictionaries, are compressed with each of them to the end, and the language with
 the smallest sum wins.  The margin to the runner-up tells how sure that is; narrow
 margins are rejected.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkloom.llm.text import fold, in_pieces, slices
+from sparkloom.plans import written
 
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -35,13 +36,12 @@ def letters(text: str) -> str:
     return _NO_LETTERS.sub(" ", text.lower()).strip()
 
 
-def dictionary(texts: list[str], size: int) -> bytes:
-    """Words of two texts or more, shuffled with a fixed seed; all words where no two texts share any."""
-    split = [letters(t).split() for t in texts]
-    texts_of = Counter(w for words in split for w in set(words))
-    words = [w for words in split for w in words if texts_of[w] > 1] or [w for words in split for w in words]
+def dictionary(copies: dict[str, int], size: int) -> bytes:
+    """Words with their numbers of copies, shuffled with a fixed seed; zstandard asks for eight bytes."""
+    words = [w for w in sorted(copies) for _ in range(copies[w])]
     random.Random(1).shuffle(words)
-    return " ".join(words).encode("utf-8", "replace")[:size]
+    content = " ".join(words).encode("utf-8", "replace")[:size]
+    return content.ljust(8) if content else content
 
 
 class CompressionClassifier:
@@ -82,29 +82,51 @@ class CompressionClassifier:
         return lang, score, (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
 
 
+#: A run of letters longer than this is no word.
+LONGEST_WORD = 256
+
+
+def _words(piece: pd.DataFrame) -> pd.DataFrame:
+    """How often, and in how many documents of a piece, each word occurs, by language."""
+    count: Counter = Counter()
+    texts_of: Counter = Counter()
+    for lang, text in zip(piece["lang"], piece["text"], strict=True):
+        own = Counter(w for w in letters(text).split() if len(w) <= LONGEST_WORD)
+        count.update({(lang, w): n for w, n in own.items()})
+        texts_of.update((lang, w) for w in own)
+    return pd.DataFrame([(lang, w, n, texts_of[lang, w]) for (lang, w), n in count.items()], columns=["lang", "word", "n", "texts"])
+
+
 def learn(docs: DataFrame, docs_per_language: int = 400, dictionary_bytes: int = 112 * 1024, max_languages: int = 256) -> CompressionClassifier:
-    """Fit on a sample of labelled rows (doc_id, text, lang), bounded by the three numbers.
+    """Fit on a sample of labelled rows (doc_id, text, lang), bounded by the numbers given.
 
-    The rows of a language with the least hashes are its sample, each text up to its
-    share of eight dictionaries; the most frequent languages are learned.  Rows without id, text or language are passed over.
+    A language's sample are its distinct rows with the least hashes of id and text.  Of
+    their words the driver gets about ``dictionary_bytes`` a language.  Rows without
+    text or language are passed over.  More than ``max_languages`` languages are an
+    error; one whose sampled texts have no letter is not learned.
     """
-    rows = docs.filter("doc_id is not null and lang is not null and text is not null")
-    frequent = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
-    ids = rows.filter(F.col("lang").isin(list(frequent))).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
-    # The least hashes are found among those below a bound that some four times as many are expected to pass.
-    passed = F.create_map(*[x for lang, n in frequent.items() for x in (F.lit(lang), F.lit(min(1.0, (4 * docs_per_language + 100) / n)))]) if frequent else None
-    if passed is not None:
-        ids = ids.filter((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= F.element_at(passed, F.col("lang")))
-    least = W.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = ids.withColumn("rank", F.row_number().over(least)).filter(F.col("rank") <= docs_per_language).select("doc_id").distinct()
-    # At most docs_per_language * max_languages ids, and so much of each text that the driver gets eight dictionaries a language.
-    share = max(1, 8 * dictionary_bytes // docs_per_language)
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, share).alias("text"))
-    texts: dict[str, list[str]] = defaultdict(list)
-    for r in sorted(sample.collect(), key=lambda r: (r["h"], r["text"])):
-        texts[r["lang"]].append(r["text"])
-    content = {lang: dictionary(some, dictionary_bytes) for lang, some in texts.items()}
-    return CompressionClassifier({lang: c for lang, c in content.items() if len(c) >= 8})
+    rows = docs.filter("lang is not null and text is not null").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    least = W.partitionBy("lang").orderBy("h")
+    # Each task keeps its own least hashes before they are shuffled; at most docs_per_language hashes a language are left.
+    chosen = rows.select("lang", "h").withColumn("rank", F.dense_rank().over(least)).filter(F.col("rank") <= docs_per_language).select("lang", "h").distinct()
+    chosen = written(chosen, "language-sample")
+    n_languages = chosen.select("lang").distinct().limit(max_languages + 1).count()
+    if n_languages > max_languages:
+        raise ValueError(f"more than max_languages = {max_languages} languages")
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    words = in_pieces(sample.select("lang", "text"), _words, "lang string, word string, n long, texts long")
+    words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "language-words")
+    size = F.col("n") * (F.octet_length("word") + 1)
+    room = words.groupBy("lang").agg(F.coalesce(F.sum(F.when(F.col("texts") > 1, size)), F.lit(0)).alias("shared"), F.sum(size).alias("all"))
+    # Words of two texts or more; all words where no two texts share any.
+    some = words.join(F.broadcast(room), "lang").filter("texts > 1 or shared = 0")
+    part = F.least(F.lit(1.0), F.lit(float(dictionary_bytes)) / F.when(F.col("shared") > 0, F.col("shared")).otherwise(F.col("all")))
+    chance = (F.xxhash64("word").cast("double") + 2.0**63) / 2.0**64
+    some = some.select("lang", "word", F.floor(F.col("n") * part + chance * (part < 1).cast("double")).cast("long").alias("copies")).filter("copies > 0")
+    copies: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in some.collect():
+        copies[r["lang"]][r["word"]] = r["copies"]
+    return CompressionClassifier({lang: dictionary(found, dictionary_bytes) for lang, found in copies.items()})
 
 
 def identify_languages(
@@ -114,7 +136,8 @@ def identify_languages(
     """doc_id, held_out, lang_pred, score, margin and rejected of every document.
 
     Learns from documents with a language whose crc32(id as text) modulo
-    ``held_out_of`` isn't ``held_out_fold``; see ``learn`` for the sample's bounds.
+    ``held_out_of`` isn't ``held_out_fold``; see ``learn`` for the sample's bounds and
+    for what cannot be learned.
     ``rejected``: no letter, or a margin below ``least_margin``.  Null and repeated
     ids are kept, one row each; a null id counts as the empty text in the fold.  If
     no language can be learned, all are ``und``.  Other columns are not read.
