@@ -33,7 +33,7 @@ def test_classifier():
 def test_one_id_for_all_rows_and_words_late_in_a_text(make):
     """Languages are learned from all of a text, and however ids repeat."""
     rng = random.Random(0)
-    words = {x: [x + "".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)] for x in "xyz"}
+    words = {x: [x + "".join(rng.choice("abcdefghij") for _ in range(11)) for _ in range(200)] for x in "xyz"}
     text = lambda x, n: " ".join(rng.choices(words[x], k=n))
     rows = [(7, text("x", 8), "xx", "s") for _ in range(3000)] + [(7, "same words here", "same", "s")] * 3000
     rows += [(1000 + i, text("z", 600) + " " + text("y", 60), "yy", "s") for i in range(12)] + [(2000 + i, text("z", 6), None, "s") for i in range(5)]
