@@ -1,14 +1,18 @@
-"""SimHash near-duplicates through an inverted index on positional bytes.
+"""SimHash near-duplicates through an inverted index on positional bytes, with count filtering.
 
 A fingerprint has eight bytes.  Two that differ in at most d bits differ in at most
-d bytes, so they agree in at least 8 - d of them: the guaranteed minimum of matches.
-Postings of a single byte would hold 1/256 of all fingerprints each, and their
-pairs would grow with the square of the input.  So a posting is keyed by 8 - d
-positions with their bytes: a pair reaches the guaranteed tally just if it meets in
-such a posting, and no pair below it is ever formed.  A posting holds distinct
-fingerprints, so it has at most 2^(8 d) members; inside, pairs are verified bit by
-bit, or in a crowded posting each member's neighbours at up to d bits are looked up,
-and only a spanning forest of the verified links leaves it.
+d bytes, so they share at least 8 - d positional bytes: the guaranteed minimum of
+matches.  Postings of a single byte would hold 1/256 of all fingerprints each, so a
+posting is keyed by several: the bytes are dealt to d + 2 groups, of which two agree
+in any pair that has the minimum, and each pair of groups is a key, four bytes for
+d = 2.  Within a posting the shared positional bytes of each pair are tallied; pairs
+that reach the minimum are verified bit by bit, and only a spanning forest of the
+links leaves it.
+
+A posting of more than ``crowd`` fingerprints is split: a pair inside that reaches
+the minimum shares 8 - d bytes that include the posting's own, so its members meet
+again under all such keys, and none of these holds more than 2^(8 d) fingerprints.
+There, each member's neighbours at up to d bits are looked up.
 
 Copies share a fingerprint and are gathered by hash aggregation before the index.
 """
@@ -16,6 +20,7 @@ Copies share a fingerprint and are gathered by hash aggregation before the index
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -61,9 +66,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keys(fp: Column, bits: int) -> Column:
-    """The postings of a fingerprint: every choice of 8 - bits positions with their bytes."""
-    masks = [sum(0xFF << (8 * i) for i in kept) for kept in combinations(range(BYTES), BYTES - bits)]
+def positions(bits: int) -> list[tuple[int, ...]]:
+    """The byte positions of each posting: two of ``bits + 2`` groups."""
+    groups = [tuple(g.tolist()) for g in np.array_split(np.arange(BYTES), bits + 2)]
+    return [a + b for a, b in combinations(groups, 2)]
+
+
+def finer(own: tuple[int, ...], bits: int) -> list[tuple[int, ...]]:
+    """All choices of 8 - bits positions that include ``own``."""
+    rest = [i for i in range(BYTES) if i not in own]
+    return [own + more for more in combinations(rest, max(0, BYTES - bits - len(own)))]
+
+
+def _keys(fp: Column, sets: list[tuple[int, ...]]) -> Column:
+    """The postings of a fingerprint: each choice of positions with their bytes."""
+    masks = [sum(0xFF << (8 * i) for i in kept) for kept in sets]
     return F.array(*[F.struct(F.lit(i).cast("short").alias("positions"), fp.bitwiseAND(F.lit(_signed(m)).cast("long")).alias("bytes")) for i, m in enumerate(masks)])
 
 
@@ -72,6 +89,13 @@ def _flips(bits: int) -> np.ndarray:
     return np.array([sum(c) for r in range(1, bits + 1) for c in combinations(one, r)], dtype=np.uint64)
 
 
+def matching(x: np.ndarray, bits: int) -> np.ndarray:
+    """Of the differences of pairs, those that share 8 - bits positional bytes or more and differ in ``bits`` bits or fewer."""
+    tally = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
+    found = np.flatnonzero(tally >= BYTES - bits)
+    return found[np.bitwise_count(x[found]) <= bits]
+
+
 def linked_within(members: np.ndarray, bits: int, flips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (member, root) of the links at up to ``bits`` bits among distinct fingerprints."""
     members = np.sort(members)
@@ -86,7 +110,7 @@ def linked_within(members: np.ndarray, bits: int, flips: np.ndarray) -> tuple[np
     fixed = np.bitwise_or.reduce(members ^ members[0])
     inside = flips[(flips & ~fixed) == 0]  # bits on which all members agree need no flip
     if len(members) <= 2 * len(inside) + 2:
-        pairs = ((i, j) for i in range(len(members)) for j in (i + 1 + np.flatnonzero(np.bitwise_count(members[i + 1 :] ^ members[i]) <= bits)).tolist())
+        pairs = ((i, j) for i in range(len(members)) for j in (i + 1 + matching(members[i + 1 :] ^ members[i], bits)).tolist())
     else:
 
         def looked_up() -> Iterator[tuple[int, int]]:
@@ -110,16 +134,57 @@ def _verified(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flips = _flips(bits)
         for batch in batches:
-            a, b = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.uint64)]
-            for members in batch["members"]:
-                x, y = linked_within(np.asarray(members, dtype=np.int64).view(np.uint64), bits, flips)
-                a.append(x)
-                b.append(y)
+            lists = [np.asarray(m, dtype=np.int64).view(np.uint64) for m in batch["members"]]
+            pairs = np.array([m for m in lists if len(m) == 2], dtype=np.uint64).reshape(-1, 2)  # most postings
+            near = matching(pairs[:, 0] ^ pairs[:, 1], bits)
+            a, b = [pairs[near, 0]], [pairs[near, 1]]
+            for members in lists:
+                if len(members) > 2:
+                    x, y = linked_within(members, bits, flips)
+                    a.append(x)
+                    b.append(y)
             yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
     return run
 
 
+def links_of(distinct: DataFrame, bits: int, crowd: int = 4096) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of fingerprints (fp) at ``bits`` bits or fewer."""
+    spark = distinct.sparkSession
+    tasks = min(100_000, max(spark.sparkContext.defaultParallelism, distinct.count() // 250_000))
+    sets = positions(bits)
+    postings = distinct.repartition(tasks, "fp").select("fp", F.explode(_keys(F.col("fp"), sets)).alias("key")).select("fp", "key.positions", "key.bytes")
+    crowded = written(postings.groupBy("positions", "bytes").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("positions", "bytes"), "simhash-crowded")
+    gathered = []
+    if crowded.limit(1).count():
+        wider = [_keys(F.col("fp"), finer(own, bits)) for own in sets]
+        many = postings.join(crowded, ["positions", "bytes"], "left_semi")
+        many = many.select("fp", F.col("positions").alias("set"), F.explode(F.element_at(F.array(*wider), F.col("positions").cast("int") + 1)).alias("key"))
+        gathered.append(many.groupBy("set", "key.positions", "key.bytes").agg(F.collect_list("fp").alias("members")).select("members"))
+        postings = postings.join(crowded, ["positions", "bytes"], "left_anti")
+    gathered.append(postings.groupBy("positions", "bytes").agg(F.collect_list("fp").alias("members")).select("members"))
+    return reduce(DataFrame.union, [g.filter(F.size("members") > 1).mapInPandas(_verified(bits), "a long, b long") for g in gathered])
+
+
+def with_component(rows: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): the least id of each row's component.
+
+    ``rows`` has doc_id and fp, ``distinct`` fp, least (id) and n (rows), ``links`` a and b.
+    """
+    named = written(components(links), "simhash-components")
+    joined = named.join(distinct, named["node"] == distinct["fp"]).select("node", "root", "least")
+    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    renamed = joined.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
+    by_fp = written(distinct.join(renamed, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "simhash-groups")
+    # Fingerprints with over a thousandth of all rows, so fewer than a thousand, go to the rows; others meet them in a shuffle.
+    total = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = F.col("n") > max(1, total // 1000)
+    frequent = F.broadcast(by_fp.filter(many).select("fp", "component_id"))
+    found = rows.join(frequent, "fp").select("doc_id", "fp", "component_id")
+    rest = rows.join(frequent, "fp", "left_anti").join(by_fp.filter(~many), "fp").select("doc_id", "fp", "component_id")
+    return found.union(rest)
+
+
 def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document.
 
@@ -134,30 +199,23 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col:
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(in_pieces(read, _fingerprints(shingle), "doc_id long, fp long"), "simhash-rows")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
-    postings = distinct.select("fp", F.explode(_keys(F.col("fp"), bits)).alias("key")).groupBy("key.positions", "key.bytes").agg(F.collect_list("fp").alias("members"))
-    links = postings.filter(F.size("members") > 1).select("members").mapInPandas(_verified(bits), "a long, b long")
-    named = written(components(links), "simhash-components")
-    joined = named.join(distinct, named["node"] == distinct["fp"]).select("node", "root", "least")
-    roots = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    renamed = joined.join(roots, "root").select(F.col("node").alias("fp"), "component_id")
-    by_fp = written(distinct.join(renamed, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "simhash-groups")
-    # Fingerprints with over a thousandth of all rows, so fewer than a thousand, go to the rows; others meet them in a shuffle.
-    total = by_fp.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    many = F.col("n") > max(1, total // 1000)
-    frequent = F.broadcast(by_fp.filter(many).select("fp", "component_id"))
-    found = rows.join(frequent, "fp").select("doc_id", "fp", "component_id")
-    rest = rows.join(frequent, "fp", "left_anti").join(by_fp.filter(~many), "fp").select("doc_id", "fp", "component_id")
-    return found.union(rest).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = with_component(rows, distinct, links_of(distinct, bits))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_of(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The row of each component's least id, with all columns of ``docs``; of rows that repeat it, one.
 
-    Rows without an id stay, but for copies of the same text among them.
+    ``groups`` has doc_id and component_id.  Rows without an id stay, but for copies of
+    the same text among them.
     """
-    groups = simhash_components(docs, shingle, bits, id_col, text_col)
     least = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     least = written(least.withColumnRenamed("doc_id", "__kept_id"), "simhash-kept")
     of = lambda keys: docs.join(keys.select("__kept_id"), docs[id_col] == keys["__kept_id"], "left_semi")
     alone, repeated = of(least.filter("n = 1")), of(least.filter("n > 1")).dropDuplicates([id_col])
     return alone.union(repeated).union(docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document, that of the least id, of each component of fingerprints; see ``kept_of``."""
+    return kept_of(docs, simhash_components(docs, shingle, bits, id_col, text_col), id_col, text_col)

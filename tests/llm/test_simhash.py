@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from sparkloom.llm.components import components
-from sparkloom.llm.simhash import _flips, fingerprint, keep_one_of_each, linked_within, simhash_components
+from sparkloom.llm.simhash import _flips, fingerprint, finer, keep_one_of_each, linked_within, links_of, matching, positions, simhash_components
 from sparkloom.llm.text import words_of
 
 
@@ -89,6 +89,34 @@ def test_crowded_posting(n):
     assert groups(top) == groups(want)
 
 
+def test_every_pair_in_reach_meets():
+    """Two fingerprints at d bits share a posting, and a finer one inside it."""
+    rng = random.Random(0)
+    for bits in (0, 1, 2, 3):
+        for _ in range(300):
+            x = 0
+            for _ in range(bits):
+                x |= 1 << rng.randrange(64)
+            same = {i for i in range(8) if not x >> (8 * i) & 0xFF}
+            met = [p for p in positions(bits) if same.issuperset(p)]
+            assert met and all(any(same.issuperset(f) for f in finer(p, bits)) for p in met)
+            assert matching(np.array([x], dtype=np.uint64), bits).tolist() == [0]
+    assert matching(np.array([0x010101, 0x07, 0x03, 0], dtype=np.uint64), 2).tolist() == [2, 3]
+
+
+@pytest.mark.parametrize("crowd", [4096, 8, 1])
+def test_links_of_crowded_postings(spark, crowd):
+    """Postings that are split give the components of all pairs."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, size=6, dtype=np.uint64)
+    flips = np.array([1 << int(b) for b in rng.integers(0, 64, size=9)], dtype=np.uint64)
+    members = np.unique(np.array([int(base[rng.integers(6)] ^ np.bitwise_xor.reduce(rng.choice(flips, size=rng.integers(1, 6), replace=False))) for _ in range(300)], dtype=np.uint64))
+    df = spark.createDataFrame([(x,) for x in members.view(np.int64).tolist()], "fp long")
+    found = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in links_of(df, 2, crowd).collect()]
+    near = [(int(x), int(y)) for i, x in enumerate(members) for y in members[i + 1 :][np.bitwise_count(members[i + 1 :] ^ x) <= 2]]
+    assert sorted(map(tuple, _classes(roots(found, members.tolist())))) == sorted(map(tuple, _classes(roots(near, members.tolist()))))
+
+
 def _classes(top):
     out = defaultdict(list)
     for n, r in sorted(top.items()):
