@@ -1,9 +1,9 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
 
 Counting: each task turns its documents into pairs of 64-bit word hashes, counts
-equal pairs, and sends them to shards by the pair's first word and eight classes
-of its second, so a frequent word is spread and its copies are counted before they
-travel.  A shard adds up its pairs, stores them as a sorted array of pair hashes with
+equal pairs, and sends them to shards by the pair's first word and a class of its
+second.  There are an eighth as many classes as shards, so a frequent word is spread
+over more shards as they grow in number, and its copies are counted before they travel.  A shard adds up its pairs, stores them as a sorted array of pair hashes with
 counts, and sends on what it knows of each word (occurrences, distinct words before
 it, and as a context its total and its numbers of pairs seen once, twice and more).
 A second set of shards adds these up and stores sorted arrays of word hashes.
@@ -31,8 +31,9 @@ from sparkloom.plans.stored import new_path
 # No word holds white space, so these two cannot be words.
 START, END = (np.uint64(xxhash.xxh64_intdigest(mark)) for mark in (b" start", b" end"))
 WORD_FIELDS = ("count", "before", "total", "once", "twice", "more", "three", "four")
-_SPREAD = np.uint64(7)
 MOST_TASKS = 100_000
+#: Arrays that a worker maps at once; each is a file and a range of its address space.
+MOST_OPEN = 1024
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,6 +44,12 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def pair_shard(a: np.ndarray, b: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each pair."""
+    classes = np.uint64(max(8, shards // 8))
+    return (mixed(a, mixed(b, b) % classes) % np.uint64(shards)).astype(np.int64)
+
+
 def pairs_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, second, tokens of each text) of all tokens with what stands before them; every text ends in END."""
     digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
@@ -91,7 +98,7 @@ def _counted(shards: int):
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         a, b, _ = pairs_of(piece["text"].tolist())
         (a, b), n = _summed((a, b), {"n": np.ones(len(a), dtype=np.int64)})
-        shard = (mixed(a, b & _SPREAD) % np.uint64(shards)).astype(np.int64)
+        shard = pair_shard(a, b, shards)
         order = np.argsort(shard, kind="stable")
         rows = []
         for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
@@ -176,8 +183,13 @@ class KneserNey:
         return self.__dict__ | {"_open": {}}
 
     def _array(self, name: str, narrow: bool) -> np.ndarray:
-        """Sorted hashes, or numbers in the width that their first byte tells."""
+        """Sorted hashes, or numbers in the width that their first byte tells.
+
+        Shards are looked up in order, so the array mapped first is let go when there are too many.
+        """
         if name not in self._open:
+            while len(self._open) >= MOST_OPEN:
+                del self._open[next(iter(self._open))]
             try:
                 found = arrays.load(self.folder, name, np.uint8 if narrow else "<u8")
             except FileNotFoundError:  # a shard to which nothing was sent
@@ -204,8 +216,7 @@ class KneserNey:
         return self._look("words", (mixed(words, words) % np.uint64(self.word_shards)).astype(np.int64), words, fields)
 
     def pair_counts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        shard = (mixed(a, b & _SPREAD) % np.uint64(self.pair_shards)).astype(np.int64)
-        return self._look("pairs", shard, mixed(a, b), ("counts",))["counts"]
+        return self._look("pairs", pair_shard(a, b, self.pair_shards), mixed(a, b), ("counts",))["counts"]
 
     def score(self, texts: list[str | None]) -> pd.DataFrame:
         """n_tokens, n_known, base_score and score of each text."""
@@ -239,8 +250,8 @@ class KneserNey:
 def train(docs: DataFrame, shard_bytes: int = 8 << 20) -> KneserNey:
     """Count the texts of ``docs`` (text) in shards for about ``shard_bytes`` of text each, and store the model."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    pair_shards = max(32, -(-int(size) // shard_bytes))
-    word_shards = max(32, pair_shards // 2)
+    pair_shards = max(12, -(-int(size) // shard_bytes))
+    word_shards = max(12, pair_shards // 2)
     folder = new_path(docs.sparkSession, "kneser-ney")
     pairs = in_pieces(docs.select("text"), _counted(pair_shards), _PAIR_ROWS)
     # As many tasks as shards, however few partitions the session asks for.

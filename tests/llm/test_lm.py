@@ -1,11 +1,14 @@
 import math
+import pickle
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from sparkloom.llm.lm import discounts, score_documents, train
+from sparkloom.llm import lm
+from sparkloom.llm.lm import START, discounts, pair_shard, score_documents, train
 from sparkloom.llm.text import words_of
 
 
@@ -95,3 +98,22 @@ def test_odd(odd, none, make):
     only = next(i for i in range(100) if held_out(i))
     (r,) = score_documents(make([(only, "no training rows", "en", "s")])).collect()
     assert (r["train_tokens"], r["n_known"], r["base_score"], r["score"]) == (0, 0, 0.0, 0.0)
+
+
+def test_a_frequent_word_is_spread_as_shards_grow():
+    rng = np.random.default_rng(0)
+    a, b = np.full(200_000, START), rng.integers(0, 1 << 63, size=200_000, dtype=np.uint64)
+    for shards in (16, 320, 3200, 32_000):
+        held = np.bincount(pair_shard(a, b, shards), minlength=shards)
+        assert held.max() < 30 * 200_000 / max(8, shards // 8)
+
+
+def test_few_arrays_are_open(make, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(40)]
+    model = train(make(texts), shard_bytes=400)
+    want = model.score(texts)
+    monkeypatch.setattr(lm, "MOST_OPEN", 5)
+    model = pickle.loads(pickle.dumps(model))
+    found = model.score(texts)
+    assert len(model._open) <= 5 and found.equals(want) and model.pair_shards > 20
