@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.text import fold, in_pieces
+from sparkloom.plans import written
 
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~“”„«»‘’¡¿…–—"
 QUOTES = "\"“”„«»"
@@ -304,22 +305,31 @@ def near_documents(docs: DataFrame, lexicon: Lexicon) -> dict[tuple[str, int], i
     return {(r["term"], r["errors"]): r["other"] for r in counted.groupBy("term", "errors").agg(F.sum("other").alias("other")).collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> ToxicityModel:
-    """Fit on at most ``sample_docs`` labelled documents, those with the least hashes of their ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
+    """(text, toxic) of at most ``sample_docs`` distinct rows, stored: those with the least hashes of id and text among as many ids."""
+    toxic = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    ids = toxic.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_docs).drop("h")
+    # Both sides that are broadcast have at most sample_docs rows of three numbers.
+    rows = docs.join(F.broadcast(ids), "doc_id").withColumn("text_hash", F.xxhash64("text"))
+    chosen = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text_hash").distinct().orderBy("h", "doc_id", "text_hash").limit(sample_docs).drop("h")
+    chosen = written(chosen, "toxicity-chosen")
+    return written(rows.join(F.broadcast(chosen), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("text", "toxic"), "toxicity-sample")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000, lexicon_terms: int = 2000, candidate_terms: int = 100_000) -> ToxicityModel:
+    """Fit on at most ``sample_docs`` labelled documents, those with the least hashes.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic.  A document with several
     labels is toxic if one says so.  Words are counted in the executors; the driver gets
-    counts of frequent terms and twice eight numbers a sampled document.
+    counts of the ``candidate_terms`` that most of the toxic documents hold, of which
+    ``lexicon_terms`` at most become the lexicon, and twice eight numbers a sampled document.
     """
-    toxic = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    chosen = toxic.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample_docs).drop("h")
-    # At most sample_docs rows of two numbers.
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    sample = labelled_sample(docs, labels, sample_docs)
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     counted = in_pieces(sample.filter("toxic = 1").select("text"), _counted, "term string, toxic long")
     frequent = counted.groupBy("term").agg(F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= max(5, n_toxic // 400))
-    candidates = {r["term"]: r["toxic"] for r in frequent.orderBy(F.desc("toxic"), "term").limit(100_000).collect()}
+    candidates = {r["term"]: r["toxic"] for r in frequent.orderBy(F.desc("toxic"), "term").limit(candidate_terms).collect()}
 
     def others(piece: pd.DataFrame) -> pd.DataFrame:
         """Other documents of a piece that hold each candidate."""
@@ -333,7 +343,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> Toxi
 
     counted = in_pieces(sample.filter("toxic = 0").select("text"), others, "term string, other long")
     other = {r["term"]: r["other"] for r in counted.groupBy("term").agg(F.sum("other").alias("other")).collect()}
-    terms = choose_terms([(t, n, other.get(t, 0)) for t, n in candidates.items()], n_toxic, n_other)
+    terms = choose_terms([(t, n, other.get(t, 0)) for t, n in candidates.items()], n_toxic, n_other, most=lexicon_terms)
     others_only = sample.filter("toxic = 0").select("text")
     # Errors only add to a term's other documents: what has too many among a few needs no look at all of them.
     near = {(t, 0): n for t, n in other.items()}
@@ -362,19 +372,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> Toxi
 
 def score_documents(
     docs: DataFrame, labels: DataFrame, held_out_of: int = 3, held_out_fold: int = 1, threshold: float = 0.7,
-    id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000,
+    id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, lexicon_terms: int = 2000, candidate_terms: int = 100_000,
 ) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
     Labels are learned only from documents whose crc32(id as text) modulo
     ``held_out_of`` isn't ``held_out_fold``; a null id counts as the empty text there
-    and has no label.  A null text is scored as the empty one.  Repeated rows are
+    and has no label.  The model is bounded by ``sample_docs``, ``lexicon_terms`` and
+    ``candidate_terms``, see ``train``; every document is scored.  A null text is scored as the empty one.  Repeated rows are
     scored each.  Without both kinds of labels every score is about 0, or 1 if all are
     toxic.  Other columns are not read; an empty table gives an empty result.
     """
     held_out = (fold(F.col("doc_id"), held_out_of) == held_out_fold).alias("held_out")
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model = train(read, labels.select("doc_id", "toxic", held_out).filter("not held_out").drop("held_out"), sample_docs)
+    model = train(read, labels.select("doc_id", "toxic", held_out).filter("not held_out").drop("held_out"), sample_docs, lexicon_terms, candidate_terms)
 
     def run(piece: pd.DataFrame) -> pd.DataFrame:
         score = np.array([model.score(t) for t in piece["text"]], dtype=np.float64)
