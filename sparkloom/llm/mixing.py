@@ -11,7 +11,8 @@ is n with its k bits reversed (van der Corput).  So every source gets exactly K
 slots, evenly interleaved.  A slot's rank within its source names pass and block.
 
 Ranks and word offsets come from two levels: counts by (source, chunk), then a
-window within each; a source with a third of all rows is spread over ``chunks``.
+window within each; a source with a third of all rows is spread over ``chunks`` by the
+hash of id and text.  Rows alike in both are one row with a count there.
 """
 
 from __future__ import annotations
@@ -88,16 +89,27 @@ def schedule_slots(needs: DataFrame, block_words: int, chunks: int = 1024) -> Da
     return slots.select("position", "idx", "pass", "block", used.alias("used"))
 
 
-def document_streams(rows: DataFrame, chunks: int = 1024) -> DataFrame:
+def document_streams(rows: DataFrame, chunks: int = 1024, copies: int = 4096) -> DataFrame:
     """Adds ``start``: the words before each row in its source's shuffled stream.
 
-    ``rows`` has idx, size, doc_id, shuffle and tie; rows equal in all are interchangeable.
+    ``rows`` has idx, size, doc_id, shuffle and tie; rows equal in all are
+    interchangeable and follow each other.  They are counted before they are shuffled,
+    and dealt out again in tasks of about ``copies``.
     """
-    rows = rows.withColumn("chunk", F.pmod(F.col("shuffle"), F.lit(chunks)))
-    before = rows.groupBy("idx", "chunk").agg(F.sum("size").alias("n"))
-    before = before.select("idx", "chunk", (F.sum("n").over(W.partitionBy("idx").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    own = ["idx", "size", "doc_id", "shuffle", "tie"]
+    rows = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).withColumn("chunk", F.pmod(F.col("shuffle"), F.lit(chunks)))
+    before = rows.groupBy("idx", "chunk").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
+    before = before.select("idx", "chunk", (F.sum("words").over(W.partitionBy("idx").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).alias("before"))
     inside = W.partitionBy("idx", "chunk").orderBy("shuffle", "tie", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("within", F.sum("size").over(inside) - F.col("size")).join(before, ["idx", "chunk"]).withColumn("start", F.col("before") + F.col("within")).drop("chunk", "before", "within")
+    words = F.col("size") * F.col("n")
+    placed = rows.withColumn("start", F.sum(words).over(inside) - words).join(before, ["idx", "chunk"]).withColumn("start", F.col("before") + F.col("start"))
+    placed = written(placed.select(*own, "n", "start"), "mix-places")
+    few = placed.filter(F.col("n") <= copies).select(*own, "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth"))
+    lot = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / copies))).alias("lot")
+    many = placed.filter(F.col("n") > copies).select(*own, "start", "n", lot).repartition(F.col("shuffle"), F.col("lot"))
+    last = F.least(F.col("n"), (F.col("lot") + 1) * copies) - 1
+    many = many.select(*own, "start", F.explode(F.sequence(F.col("lot") * copies, last)).alias("nth"))
+    return few.union(many).withColumn("start", F.col("start") + F.col("nth") * F.col("size")).drop("nth")
 
 
 class Mix:
@@ -137,7 +149,7 @@ def mix_sources(
     text = F.col(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words_column(text)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("shuffle"), F.xxhash64(text).alias("tie"),
+        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("shuffle"), F.xxhash64(text).alias("tie"),
     )
     rows = written(rows, "mix-rows")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)

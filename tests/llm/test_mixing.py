@@ -2,7 +2,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from sparkloom.llm.mixing import mix_sources, mixed_documents, source_targets
+from sparkloom.llm.mixing import document_streams, mix_sources, mixed_documents, source_targets
 
 
 def level(sizes, weights, cap):
@@ -76,3 +76,19 @@ def test_mixed_documents(make, odd, none):
         assert r["n_chars"] == len(r["text"]) and "abcd"[: len(r["text"].split())] if r["doc_id"] == 0 else True
     assert dict(words) == {i: n for i, n in taken.items() if n}
     assert mixed_documents(odd).columns == odd.columns and mixed_documents(none).count() == 0
+
+
+def test_rows_alike_are_spread_and_told_apart(spark):
+    """A third of all rows alike: one row in the stream's windows, each with a place of its own after it."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.lit(1).alias("idx"), F.lit(7).cast("long").alias("size"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"))
+    rows = rows.withColumn("shuffle", F.xxhash64("doc_id")).withColumn("tie", F.lit(5).cast("long"))
+    for copies in (4096, 64):
+        found = document_streams(rows, 16, copies).collect()
+        assert sorted(r["start"] for r in found) == list(range(0, 21_000, 7)) and sum(r["doc_id"] is None for r in found) == 1000
+
+
+def test_null_ids_fall_into_many_chunks(make):
+    mix = mix_sources(make([(None, f"text number {i}", "en", "s") for i in range(500)]), chunks=64)
+    assert len({r["shuffle"] % 64 for r in mix.documents.collect()}) > 50
