@@ -1,11 +1,14 @@
 """Minimax contiguous sharding of documents, with DataFrame functions only.
 
-Equal texts form a group that is never split.  Groups are ordered by the hash of
-their text and gathered in ``2 ** unit_bits`` ranges of it: the ordered atomic
-units, whose number does not grow with the data.  A unit larger than an equal
-share of what is left gets a shard of its own.  For the others the smallest
-feasible capacity is found by binary search, each trial filling shards greedily,
-and the sequence is cut where that capacity overflows.
+Equal texts form a group that is never split.  Groups are gathered in
+``2 ** unit_bits`` ranges of the hash of their text: the atomic units, whose number
+does not grow with the data.  The sequence begins with the units larger than an equal
+share of what is left, the largest first, and goes on in the order of hashes.  No
+capacity lets one of the former share a shard with less than all it needs, so each is
+cut off alone, at any size of the data; left in the order of hashes, one unit of a
+third of all bytes would set the capacity for all, and fill three or four shards of 24.
+For the others the smallest feasible capacity is found by binary search, each trial
+filling shards greedily, and the sequence is cut where that capacity overflows.
 
 The search folds over one row of at most ``2 ** unit_bits`` sums.  Documents are
 only ever grouped by (shard, hash of the id), so a large group of copies is
