@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkloom.functions.helpers import Timedelta
+
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 #: Microseconds of the steps by their one-letter names.
 STEPS = {"D": 86_400_000_000, "H": 3_600_000_000, "T": 60_000_000, "S": 1_000_000, "L": 1_000, "U": 1}
@@ -87,6 +91,31 @@ def add(c: Column, days: int = 0, hours: int = 0, minutes: int = 0, seconds: int
     return from_micros(micros(c) + F.lit(((days * 24 + hours) * 60 + minutes) * 60_000_000 + seconds * 1_000_000 + microseconds))
 
 
+def add_nanoseconds(c: Column, nanos: Column | int, n: Column | int) -> Column:
+    """struct(time, nanos): ``c`` and the ``nanos`` (0 to 999) beyond its microseconds, ``n`` nanoseconds later."""
+    total = F.coalesce(F.lit(nanos), F.lit(0)).cast("long") + F.lit(n).cast("long")
+    carried = F.floor(total / 1000).cast("long")
+    return F.struct(from_micros(micros(c) + carried).alias("time"), F.pmod(total, F.lit(1000)).cast("int").alias("nanos"))
+
+
+def add_timedelta(c: Column, span: Timedelta, nanos: Column | int = 0) -> Column:
+    """struct(time, nanos) of a time and its nanoseconds, a span later; a negative span goes back."""
+    whole, rest = divmod(span.total_nanoseconds, 1000)
+    return add_nanoseconds(from_micros(micros(c) + F.lit(whole)), nanos, rest)
+
+
+def time(c: Column) -> Column:
+    """Hour, minute and second, as in 8:46:39."""
+    return F.concat_ws(":", F.hour(c).cast("string"), F.minute(c).cast("string"), F.second(c).cast("string"))
+
+
+def to_local(c: Column, tz: str | None = None) -> Column:
+    """Text of the time in a zone of the tz database, or the session's: milliseconds, and microseconds where there are any."""
+    zone = F.current_timezone() if tz is None else F.lit(tz)
+    there = F.convert_timezone(F.lit("UTC"), zone, c.cast("timestamp_ntz"))
+    return F.regexp_replace(F.date_format(there, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "000$", "")
+
+
 def difference(a: Column, b: Column) -> Column:
     """Microseconds from ``b`` to ``a``."""
     return micros(a) - micros(b)
@@ -173,6 +202,11 @@ def strftime(c: Column, fmt: str) -> Column:
     return F.concat(*out) if out else F.lit("")
 
 
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is worked out once, however often ``fn`` mentions it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def parse(c: Column, day_first: bool = False) -> Column:
     """Time from text in many forms; null where none fits.
 
@@ -182,45 +216,72 @@ def parse(c: Column, day_first: bool = False) -> Column:
     8 (date) or 12 (date, hour, minute) digits; 9 or 10 (seconds) or 13 (milliseconds).
     AM and PM are honoured.
     """
-    s = F.trim(c)
-    iso = F.regexp_replace(F.regexp_replace(s, "[Tt](?=\\d)", " "), "[Zz]$", "")
-    is_iso = s.rlike("^\\d{4}-\\d{2}-\\d{2}([ Tt]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?)?\\s*[Zz]?$")
-    digits = F.regexp_extract_all(s, F.lit("(\\d+)"), F.lit(1))
     num = lambda x: x.try_cast("int")
-    at = lambda a, i: num(F.get(a, i))
-    name = F.lower(F.regexp_extract(s, "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*", 1))
-    month_no = F.when(name != "", F.floor((F.position(name, F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int"))
-    four = F.array_position(F.transform(digits, lambda d: F.char_length(d) == 4), True) - 1
-    wide = F.when(four >= 0, four.cast("int"))
-    two_digit = lambda y: y + F.when(y < 30, 2000).when(y < 100, 1900).otherwise(0)
-    pm = s.rlike("(?i)\\d\\s*pm\\b|\\d\\s*pm$")
-    am = s.rlike("(?i)\\d\\s*am\\b|\\d\\s*am$")
-    clock = lambda h: F.when(pm & (h < 12), h + 12).when(am & (h == 12), 0).otherwise(h)
-    pad = lambda x: F.coalesce(x, F.lit(0))
-    # With a month name the other numbers are day, year, hour, minute, second, or year, day, ...
-    n_year = F.when(wide == 0, at(digits, 0)).otherwise(two_digit(at(digits, 1)))
-    n_day = F.when(wide == 0, at(digits, 1)).otherwise(at(digits, 0))
-    named = from_parts(n_year, month_no, n_day, clock(pad(at(digits, 2))), pad(at(digits, 3)), pad(at(digits, 4)))
-    # Only numbers: take the year out, the rest are two of a date and a time.
-    last = F.size(digits) - 1
-    place = F.coalesce(wide, last)
-    rest = F.filter(digits, lambda d, i: i != place)
-    y = F.when(wide.isNotNull(), num(F.get(digits, place))).otherwise(two_digit(num(F.get(digits, place))))
-    first, second = at(rest, 0), at(rest, 1)
-    dotted = F.lit(day_first) | s.contains(".")
-    swap = dotted | (first > 12)
-    month = F.when(F.size(rest) == 1, first).when(swap, second).otherwise(first)
-    day = F.when(F.size(rest) == 1, F.lit(1)).when(swap, first).otherwise(second)
-    apart = from_parts(y, month, day, clock(pad(at(rest, 2))), pad(at(rest, 3)), pad(at(rest, 4)))
-    part = lambda a, n: num(F.substring(s, a, n))
-    length = F.char_length(s)
-    big = s.try_cast("long")
-    compact = (
+    numbers = lambda s: F.regexp_extract_all(s, F.lit("(\\d+)"), F.lit(1))
+    iso = "^\\d{4}-\\d{2}-\\d{2}([ Tt]\\d{2}:\\d{2}(:\\d{2}(\\.\\d+)?)?)?\\s*[Zz]?$"
+    none = F.lit(None).cast("timestamp_ntz")
+
+    def by_form(s: Column) -> Column:
+        """The cheapest test that tells a text's form comes first; only its own form is worked out."""
+        iso_time = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(s, "[Tt](?=\\d)", " "), "[Zz]$", "")).cast("timestamp_ntz")
+        other = F.when(s.rlike("^\\d+$"), _compact(s)).otherwise(_once(F.lower(F.regexp_extract(s, _MONTH_NAME, 1)), lambda m: _once(numbers(s), lambda d: in_words(s, m, d))))
+        return F.when(s.rlike(iso), iso_time).otherwise(other) if not day_first else other
+
+    def in_words(s: Column, m: Column, d: Column) -> Column:
+        facts = F.struct(
+            F.transform(d, num).alias("n"), (F.array_position(F.transform(d, lambda x: F.char_length(x) == 4), True) - 1).cast("int").alias("wide"),
+            s.rlike("(?i)\\d\\s*pm\\b").alias("pm"), s.rlike("(?i)\\d\\s*am\\b").alias("am"),
+        )
+        return _once(facts, lambda r: F.when(m != "", _named(r, m)).when(s.rlike("(?i)[b-ln-oq-z]"), none).otherwise(_apart(r, F.lit(day_first) | s.contains("."))))
+
+    return _once(F.trim(c), by_form)
+
+
+_MONTH_NAME = "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+
+
+def _two_digits(y: Column) -> Column:
+    return y + F.when(y < 30, 2000).when(y < 100, 1900).otherwise(0)
+
+
+def _clock(r: Column, n: Column, start: int) -> tuple[Column, Column, Column]:
+    """Hour, minute and second from place ``start`` of numbers on; what is missing is 0."""
+    hour, minute, second = (F.coalesce(F.get(n, start + i), F.lit(0)) for i in range(3))
+    return F.when(r["pm"] & (hour < 12), hour + 12).when(r["am"] & (hour == 12), 0).otherwise(hour), minute, second
+
+
+def _named(r: Column, month: Column) -> Column:
+    """With a month name the numbers are day, year, hour, minute, second, or year, day, ..."""
+    n = r["n"]
+    number = F.floor((F.position(month, F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3)
+    first = r["wide"] == 0
+    return from_parts(F.when(first, F.get(n, 0)).otherwise(_two_digits(F.get(n, 1))), number, F.when(first, F.get(n, 1)).otherwise(F.get(n, 0)), *_clock(r, n, 2))
+
+
+def _apart(r: Column, dotted: Column) -> Column:
+    """Only numbers: the year is taken out, the rest are two of a date and a time."""
+    n, wide = r["n"], r["wide"]
+    place = F.when(wide >= 0, wide).otherwise(F.size(n) - 1)
+
+    def of_rest(q: Column) -> Column:
+        rest, year = q["rest"], q["year"]
+        first, second = F.get(rest, 0), F.get(rest, 1)
+        swap, one = dotted | (first > 12), F.size(rest) == 1
+        return from_parts(
+            F.when(wide >= 0, year).otherwise(_two_digits(year)), F.when(one, first).when(swap, second).otherwise(first),
+            F.when(one, F.lit(1)).when(swap, first).otherwise(second), *_clock(r, rest, 2),
+        )
+
+    return _once(F.struct(F.filter(n, lambda x, i: i != place).alias("rest"), F.get(n, place).alias("year")), of_rest)
+
+
+def _compact(s: Column) -> Column:
+    """8 or 12 digits of a date, 9 or 10 of seconds, 13 of milliseconds."""
+    part = lambda a, n: F.substring(s, a, n).try_cast("int")
+    length, big = F.char_length(s), s.try_cast("long")
+    return (
         F.when(length == 8, from_parts(part(1, 4), part(5, 2), part(7, 2)))
         .when(length == 12, from_parts(part(1, 4), part(5, 2), part(7, 2), part(9, 2), part(11, 2)))
         .when(length.isin(9, 10), from_unix(big, "s"))
         .when(length == 13, from_unix(big, "ms"))
     )
-    iso_time = F.coalesce(F.try_to_timestamp(iso).cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz"))
-    plain = F.when(s.rlike("^\\d+$"), compact).when(name != "", named).when(s.rlike("(?i)[b-ln-oq-z]"), F.lit(None).cast("timestamp_ntz")).otherwise(apart)
-    return F.when(is_iso & ~F.lit(day_first), iso_time).otherwise(plain)

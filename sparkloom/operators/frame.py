@@ -146,10 +146,26 @@ class Frame(FrameMath):
     def columns(self) -> list[Any]:
         return list(self.labels)
 
+    @columns.setter
+    def columns(self, labels: Sequence[Any]) -> None:
+        if len(labels) != len(self.labels):
+            raise ValueError(f"{len(labels)} column labels for {len(self.labels)} columns")
+        self.labels = list(labels)
+
     @property
     def index(self) -> list[Any]:
         return [self._decoded(r[0], self.coded) for r in self.df.orderBy(ORD).select(IX).collect()]
 
+    @index.setter
+    def index(self, labels: Sequence[Any]) -> None:
+        """New row labels, placed by row number."""
+        if len(labels) != len(self):
+            raise ValueError(f"{len(labels)} row labels for {len(self)} rows")
+        kind = kind_of(labels) if len(labels) else T.LongType()
+        schema = T.StructType([T.StructField(ORD, T.LongType()), T.StructField(IX, kind or T.StringType())])
+        fresh = self.df.sparkSession.createDataFrame([(i, _cell(v, kind)) for i, v in enumerate(labels)], schema)
+        self.df, self.coded = self.df.drop(IX).join(fresh, ORD).select(*self.df.columns), kind is None
+
     @property
     def values(self) -> list[list[Any]]:
         return [self._row(r) for r in self.df.orderBy(ORD).select(*self.names).collect()]
@@ -220,6 +236,10 @@ class Frame(FrameMath):
     def __getitem__(self, label: Any) -> Any:
         return self.select(*label) if isinstance(label, list) else self.column(label)
 
+    def __setitem__(self, label: Any, value: Column | Sequence[Any]) -> None:
+        """``with_column`` in this frame."""
+        self.__dict__ = self.with_column(label, value).__dict__
+
     def with_column(self, label: Any, value: Column | Sequence[Any]) -> Frame:
         """Replaces all columns of a label, or adds one; a list is placed by row number and must fit."""
         at = [j for j, x in enumerate(self.labels) if x == label and type(x) is type(label)]
@@ -301,6 +321,8 @@ class Frame(FrameMath):
 
     def rename(self, index: Mapping[Any, Any] | None = None, columns: Mapping[Any, Any] | None = None, at_index: int | None = None, at_col: int | None = None, inplace: bool = False) -> Frame:
         """New labels for old, for all rows and columns that have them or for the n-th (from 0)."""
+        if index is None and columns is None:
+            raise ValueError("neither row nor column labels to rename")
         labels = self.columns
         for old, new in (columns or {}).items():
             places = self.positions(old)
@@ -459,6 +481,18 @@ class Frame(FrameMath):
         return concat([self, more], ignore_index=ignore_index, into=self if inplace else None)
 
 
+class RowCells(list):
+    """The cells of a row, in order; one that is set here is set in the frame."""
+
+    def __init__(self, iloc: Iloc, row: int, cells: Sequence[Any]):
+        super().__init__(cells)
+        self._iloc, self._at = iloc, row
+
+    def __setitem__(self, col: int, value: Any) -> None:
+        super().__setitem__(col, value)
+        self._iloc[self._at, range(len(self))[col]] = value
+
+
 class Iloc:
     """Rows, and then columns, by position: a number, a list of numbers, or a slice without its end."""
 
@@ -485,7 +519,7 @@ class Iloc:
             if not found:
                 raise IndexError(f"row {row}")
             cells = f._row(found[0])
-            return cells[0] if isinstance(col, int) else cells
+            return cells[0] if isinstance(col, int) else cells if col is not None else RowCells(self, row, cells)
         n = len(f)
         if isinstance(row, slice):
             a, b = self._bounded(row, n)

@@ -649,11 +649,15 @@ def ts_strftime(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", dt.strftime(F.col("o_orderdate"), "%d-%b-%Y %I:%M %p %A").alias("shown"))
 
 
-@query("SELECT o_orderkey, f.form::VARCHAR AS form, date_trunc('day', o_orderdate)::TIMESTAMP AS parsed FROM orders, (SELECT unnest(['iso', 'named', 'dots', 'compact', 'slashes']) AS form) f")
+@query("SELECT o_orderkey, f.form::VARCHAR AS form, date_trunc('day', o_orderdate)::TIMESTAMP AS parsed FROM orders, (SELECT unnest(['iso', 'named', 'dots', 'compact', 'slashes', 'iso_time', 'words', 'month_first', 'twelve', 'clock', 'short', 'seconds']) AS form) f")
 def ts_parse(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("o_orderdate")
-    forms = {"iso": "yyyy-MM-dd", "named": "d MMM yyyy", "dots": "dd.MM.yyyy", "compact": "yyyyMMdd", "slashes": "yyyy/MM/dd"}
-    texts = F.array(*[F.struct(F.lit(n).alias("form"), F.date_format(c, f).alias("text")) for n, f in forms.items()])
+    forms = {
+        "iso": "yyyy-MM-dd", "named": "d MMM yyyy", "dots": "dd.MM.yyyy", "compact": "yyyyMMdd", "slashes": "yyyy/MM/dd", "iso_time": "yyyy-MM-dd'T'HH:mm:ss",
+        "words": "MMMM d, yyyy, HH:mm", "month_first": "MM-dd-yyyy", "twelve": "yyyyMMddHHmm", "clock": "yyyy/MM/dd h:mm a", "short": "M/d/yy",
+    }
+    seconds = F.struct(F.lit("seconds").alias("form"), F.floor(dt.to_seconds(c.cast("timestamp_ntz"))).cast("string").alias("text"))
+    texts = F.array(*[F.struct(F.lit(n).alias("form"), F.date_format(c, f).alias("text")) for n, f in forms.items()], seconds)
     rows = table(spark, sf, "orders").select("o_orderkey", F.explode(texts).alias("t"))
     return rows.select("o_orderkey", "t.form", dt.parse(F.col("t.text")).alias("parsed"))
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import dt as d
+from sparkloom.functions.helpers import Timedelta
 
 MOMENT = dt.datetime
 
@@ -73,3 +74,15 @@ def test_steps(spark):
         assert [one(spark, ts, "timestamp_ntz", lambda c: fn(c, k, F.lit(499))) for k in "DHTSLUN"] == [day + e for e in ends]  # noqa: B023
     with pytest.raises(ValueError):
         d.floor(F.lit(1), "W")
+
+
+def test_nanoseconds_and_spans(spark):
+    at = lambda value, fn: one(spark, value, "timestamp_ntz", fn)
+    start = MOMENT(1999, 2, 6, 8, 46, 39, 500_123)
+    pair = lambda fn: tuple(at(start, fn))
+    assert pair(lambda c: d.add_nanoseconds(c, 999, 2)) == (MOMENT(1999, 2, 6, 8, 46, 39, 500_124), 1)
+    assert pair(lambda c: d.add_nanoseconds(c, 1, -2)) == (MOMENT(1999, 2, 6, 8, 46, 39, 500_122), 999)
+    assert pair(lambda c: d.add_timedelta(c, Timedelta(days=1, nanoseconds=1500), 600)) == (MOMENT(1999, 2, 7, 8, 46, 39, 500_125), 100)
+    assert pair(lambda c: d.add_timedelta(c, Timedelta(hours=-1, nanoseconds=-1))) == (MOMENT(1999, 2, 6, 7, 46, 39, 500_122), 999)
+    assert at(start, d.time) == "8:46:39" and at(start, lambda c: d.to_local(c, "Europe/Berlin")) == "1999-02-06 09:46:39.500123"
+    assert at(MOMENT(2024, 7, 1), lambda c: d.to_local(c, "Europe/Berlin")) == "2024-07-01 02:00:00.000"

@@ -171,3 +171,18 @@ def test_from_table(spark, data):
     f = Frame.from_table(orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"], index="o_orderkey")
     assert len(f) == 1500 and f.columns == ["o_totalprice"] and f.index[:3] == sorted(f.index)[:3]
     assert f.df.filter(F.col("__ord").isNull()).count() == 0
+
+
+def test_setters_and_cells_of_rows(spark):
+    f = Frame.from_rows(spark, [[1, "a"], [2, "b"], [3, "c"]], ["n", "s"])
+    f.columns = ["number", "letter"]
+    f.index = ["x", "y", 7]
+    assert f.columns == ["number", "letter"] and f.index == ["x", "y", 7] and f.loc("y") == [2, "b"]
+    f.iloc[1][0] = 20
+    f.iloc[2][-1] = "z"
+    f["twice"] = [2, 40, 6]
+    f["number"] = [1.5, 2.5, 3.5]
+    assert f.values == [[1.5, "a", 2], [2.5, "b", 40], [3.5, "z", 6]] and f.iloc[0] == [1.5, "a", 2]
+    for wrong in (lambda: setattr(f, "columns", ["a"]), lambda: setattr(f, "index", [1]), f.rename):
+        with pytest.raises(ValueError):
+            wrong()
