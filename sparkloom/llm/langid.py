@@ -106,13 +106,15 @@ def learn(docs: DataFrame, docs_per_language: int = 400, dictionary_bytes: int =
     error; one whose sampled texts have no letter is not learned.
     """
     rows = docs.filter("lang is not null and text is not null").select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
-    least = W.partitionBy("lang").orderBy("h")
-    # Each task keeps its own least hashes before they are shuffled; at most docs_per_language hashes a language are left.
-    chosen = rows.select("lang", "h").withColumn("rank", F.dense_rank().over(least)).filter(F.col("rank") <= docs_per_language).select("lang", "h").distinct()
-    chosen = written(chosen, "language-sample")
-    n_languages = chosen.select("lang").distinct().limit(max_languages + 1).count()
+    sizes = written(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "language-sizes")
+    n_languages = sizes.limit(max_languages + 1).count()
     if n_languages > max_languages:
         raise ValueError(f"more than max_languages = {max_languages} languages")
+    # The least hashes are the same whatever else is ranked: about four times as many as are wanted reach the window.
+    chance = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    near = rows.select("lang", "h").join(F.broadcast(sizes), "lang").filter(chance * F.col("n") <= 4 * docs_per_language).select("lang", "h").distinct()
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    chosen = written(near.withColumn("rank", rank).filter(F.col("rank") <= docs_per_language).select("lang", "h"), "language-sample")
     sample = rows.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])
     words = in_pieces(sample.select("lang", "text"), _words, "lang string, word string, n long, texts long")
     words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")), "language-words")
