@@ -397,10 +397,17 @@ def autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame(list(enumerate(found)), "lag long, acf double"), "acf", digits=6)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {DAILY}, s AS (SELECT v - avg(v) OVER () AS x, row_number() OVER (ORDER BY i) AS k FROM daily), l AS (SELECT unnest(generate_series(0, 5)) AS lag), "
+    "c AS (SELECT lag, sum(a.x * b.x) AS s FROM l, s a JOIN s b ON b.k = a.k + lag GROUP BY lag), rho AS (SELECT list(s / (SELECT s FROM c WHERE lag = 0) ORDER BY lag) FILTER (lag > 0) AS r FROM c), "
+    "d AS (SELECT 1 AS k, [r[1]] AS phi, r[1] AS new, 1 - r[1] * r[1] AS rest FROM rho UNION ALL "
+    "SELECT k + 1, list_transform(list_zip(phi, list_reverse(phi)), lambda z: z[1] - step * z[2]) || [step], step, rest * (1 - step * step) FROM "
+    "(SELECT k, phi, rest, (r[k + 1] - list_dot_product(phi, list_reverse(r[1:k]))) / rest AS step FROM d, rho WHERE k < 5)) "
+    "SELECT 0::BIGINT AS lag, 1.0::DOUBLE AS pacf UNION ALL SELECT k, round(new, 6) FROM d"
+)
 def partial_autocorrelation(spark: SparkSession, sf: str) -> DataFrame:
     found = timeseries.partial_autocorrelation(daily(spark, sf), "v", 5, ["i"])
-    return spark.createDataFrame(list(enumerate(found)), "lag long, pacf double")
+    return rounded(spark.createDataFrame(list(enumerate(found)), "lag long, pacf double"), "pacf", digits=6)
 
 
 @query(
@@ -457,12 +464,28 @@ def interpolate_time(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(timeseries.interpolate(_holes(spark, sf), "i", "v", method="time", degree=1), "v")
 
 
-@query()
+_NEAREST = (
+    f"WITH {DAILY}, h AS (SELECT i, CASE WHEN i % 5 <> 2 THEN v END AS v FROM daily), "
+    "near AS (SELECT g.i AS g, k.i AS x, k.v AS y FROM h g, h k WHERE g.v IS NULL AND k.v IS NOT NULL QUALIFY row_number() OVER (PARTITION BY g.i ORDER BY abs(k.i - g.i), k.i) <= 4), "
+)
+
+
+@query(
+    _NEAREST + "p AS (SELECT g, list(x ORDER BY x) AS x, list(y ORDER BY x) AS y FROM near GROUP BY g), "
+    "q AS (SELECT *, x[2] - x[1] AS h1, x[3] - x[2] AS h2, x[4] - x[3] AS h3, (y[3] - y[2]) / (x[3] - x[2]) AS s2 FROM p), "
+    "r AS (SELECT *, 6 * (s2 - (y[2] - y[1]) / h1) AS e1, 6 * ((y[4] - y[3]) / h3 - s2) AS e2, 4 * (h1 + h2) * (h2 + h3) - h2 * h2 AS det FROM q), "
+    "m AS (SELECT *, [0, (2 * (h2 + h3) * e1 - h2 * e2) / det, (2 * (h1 + h2) * e2 - h2 * e1) / det, 0] AS b, CASE WHEN x[1] < g AND g <= x[4] THEN len(list_filter(x, lambda z: z < g)) ELSE 1 END AS j FROM r), "
+    "f AS (SELECT g, x[j + 1] - g AS u, g - x[j] AS w, x[j + 1] - x[j] AS d, b[j] AS b0, b[j + 1] AS b1, y[j] AS y0, y[j + 1] AS y1 FROM m) "
+    "SELECT h.i, round(coalesce(h.v, (b0 * u ^ 3 + b1 * w ^ 3) / (6 * d) + (y0 / d - b0 * d / 6) * u + (y1 / d - b1 * d / 6) * w), 4) AS v FROM h LEFT JOIN f ON f.g = h.i"
+)
 def interpolate_spline(spark: SparkSession, sf: str) -> DataFrame:
-    return timeseries.interpolate(_holes(spark, sf), "i", "v", method="spline")
+    return rounded(timeseries.interpolate(_holes(spark, sf), "i", "v", method="spline"), "v")
 
 
-@query()
+@query(
+    _NEAREST + "w AS (SELECT a.g, a.x, any_value(a.y) * product((a.g - b.x) / (a.x - b.x)) AS part FROM near a JOIN near b ON a.g = b.g AND a.x <> b.x GROUP BY a.g, a.x), "
+    "f AS (SELECT g, round(sum(part), 4) AS v FROM w GROUP BY g) SELECT h.i, coalesce(h.v, f.v) AS v FROM h LEFT JOIN f ON f.g = h.i"
+)
 def interpolate_polynomial(spark: SparkSession, sf: str) -> DataFrame:
     return timeseries.interpolate(_holes(spark, sf), "i", "v", precision=4)
 
@@ -576,6 +599,25 @@ def svd_left_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return linalg.svd(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"]).u
 
 
+@query(
+    "WITH m AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, stddev_pop(l_quantity) AS sx, stddev_pop(l_extendedprice) AS sy, sign(covar_pop(l_quantity, l_extendedprice)) AS c FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL), "
+    "z AS (SELECT (l_quantity - mx) / sx AS x, (l_extendedprice - my) / sy AS y, c FROM lineitem, m WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL) "
+    "SELECT round((x + c * y) / sqrt(2), 6) + 0.0 AS PC1, round((x - c * y) / sqrt(2), 6) + 0.0 AS PC2 FROM z"
+)
+def pca_two_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(linalg.pca(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], scale=True).scores, "PC1", "PC2", digits=6)
+
+
+@query(
+    "WITH t AS (SELECT l_discount AS x, l_tax AS y FROM lineitem WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL), g AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(y * y) AS d FROM t), "
+    "e AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) ^ 2 + b * b) AS l1, (a + d) / 2 - sqrt(((a - d) / 2) ^ 2 + b * b) AS l2 FROM g), "
+    "n AS (SELECT *, sqrt((l1 - d) ^ 2 + b * b) AS n1, sqrt((d - l2) ^ 2 + b * b) AS n2 FROM e) "
+    "SELECT round((x * (l1 - d) + y * b) / n1 / sqrt(l1), 8) AS U1, round((x * (d - l2) - y * b) / n2 / sqrt(l2), 8) AS U2 FROM t, n"
+)
+def svd_two_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(linalg.svd(table(spark, sf, "lineitem"), ["l_discount", "l_tax"]).u, "U1", "U2", digits=8)
+
+
 _XY = f"WITH {DAILY}, s AS (SELECT v AS x, sqrt(v) AS y, row_number() OVER (ORDER BY i) - 1 AS k, count(*) OVER () AS n FROM daily) "
 
 
