@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.aggs import Aggregate, aggregate
 from sparkloom.functions.missing import filter_missing, number
 from sparkloom.plans import running, running_extremes, sliding
+from sparkloom.plans.ordered import PART, ranged
 
 
 
@@ -124,58 +125,130 @@ def _alpha(alpha: float) -> float:
     return alpha
 
 
-def _ewm(x: np.ndarray, alpha: float) -> np.ndarray:
-    """y[0] = x[0], y[t] = alpha x[t] + (1 - alpha) y[t - 1]."""
-    out, y = np.empty(len(x)), 0.0
+#: What a series has gathered up to a row: weighted means of x and y, and their weighted variances and covariance.
+State = tuple[float, float, float, float, float]
+
+
+def _ewm(x: np.ndarray, alpha: float, y: float) -> np.ndarray:
+    """y[t] = alpha x[t] + (1 - alpha) y[t - 1], from the given y before the first."""
+    out = np.empty(len(x))
     for t, v in enumerate(x.tolist()):
-        y = v if t == 0 else alpha * v + (1 - alpha) * y
+        y = alpha * v + (1 - alpha) * y
         out[t] = y
     return out
 
 
-def _ewm_cov(x: np.ndarray, y: np.ndarray, alpha: float, lagged: bool) -> np.ndarray:
-    """Weighted products of residuals about the current, or the preceding, weighted means; the first is NaN."""
-    mx, my = _ewm(x, alpha), _ewm(y, alpha)
-    rx, ry = (x[1:] - m[:-1] if lagged else x[1:] - m[1:] for x, m in ((x, mx), (y, my)))
-    out, cov = np.full(len(x), np.nan), 0.0
-    for t, product in enumerate((rx * ry).tolist(), start=1):
-        cov = alpha * product + (1 - alpha) * cov
-        out[t] = cov
-    return out
+def _scanned(x: np.ndarray, y: np.ndarray, alpha: float, state: State | None, lagged: bool) -> dict[str, np.ndarray]:
+    """Weighted means, variances and covariance after each row; without a state the first row starts the series.
 
+    Products are of residuals about the current, or the preceding, weighted means; a
+    residual about the current one is that about the preceding one times 1 - alpha.
+    """
+    mx, my, vx, vy, cov = state or (float(x[0]), float(y[0]), 0.0, 0.0, 0.0)
+    means = _ewm(x, alpha, mx), _ewm(y, alpha, my)
+    rx, ry = (v - np.concatenate(([start], m[:-1])) for v, m, start in zip((x, y), means, (mx, my), strict=True))
+    part = (1 - alpha) ** 2
+    found = {"mean": means[0], "mean_y": means[1], "var": _ewm(part * rx * rx, alpha, vx), "var_y": _ewm(part * ry * ry, alpha, vy)}
+    found["cov"] = _ewm(rx * ry if lagged else part * rx * ry, alpha, cov)
+    return found
 
-def _ewm_var(x: np.ndarray, alpha: float) -> np.ndarray:
-    out = _ewm_cov(x, x, alpha, False)
-    out[:1] = 0.0
-    return out
+
+_FIELDS = ("mean", "mean_y", "var", "var_y", "cov")
+
+
+def _carried(parts: DataFrame, ends: Callable, alpha: float) -> dict[int, State]:
+    """The state before each range but the first, from two passes that leave one row a range: means, then products about them."""
+    schema = f"`{PART}` int, n long, first_x double, first_y double, " + ", ".join(f"{f} double" for f in _FIELDS)
+
+    def folded(states: dict[int, State], fields: Sequence[int]) -> dict[int, State]:
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            return ends(group, states)
+
+        found = sorted(parts.groupBy(PART).applyInPandas(run, schema).collect(), key=lambda r: r[PART])  # one row a range
+        out, now = {}, None
+        for r in found:
+            if now is None:
+                now = [r["first_x"], r["first_y"], 0.0, 0.0, 0.0]
+            out[r[PART]] = tuple(states.get(r[PART], now)[k] if k not in fields else now[k] for k in range(5))
+            left = (1 - alpha) ** r["n"]
+            for k in fields:
+                now[k] = r[_FIELDS[k]] + left * now[k]
+        return out
+
+    return folded(folded({}, (0, 1)), (2, 3, 4))
+
+
+def _weighted(df: DataFrame, x: str, y: str, alpha: float, order_by: Sequence[str], partition_by: Sequence[str], out: str, of: Callable, lagged: bool = False) -> DataFrame:
+    """Adds ``of`` (what was scanned, whether the first row starts the series).
+
+    With ``partition_by`` each series is one group.  A single series is cut into ranges
+    of its order: a range's effect on the state is linear, so each is scanned for itself
+    and one row a range carries the state to the next.
+    """
+    keys, by = list(partition_by), list(order_by)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{out}` double"])
+    of_group = lambda g, state: _scanned(g[x].to_numpy(dtype=float), g[y].to_numpy(dtype=float), alpha, state, lagged)
+
+    def ordered(group: pd.DataFrame) -> pd.DataFrame:
+        return group.sort_values(by, kind="stable", na_position="first")
+
+    if keys:
+
+        def whole(group: pd.DataFrame) -> pd.DataFrame:
+            group = ordered(group)
+            return group.assign(**{out: of(of_group(group, None), True)})
+
+        found = df.groupBy(*keys).applyInPandas(whole, schema)
+    else:
+        parts = ranged(df, order_by)
+
+        def ends(group: pd.DataFrame, states: dict[int, State]) -> pd.DataFrame:
+            # From nothing in the first pass; in the second the means are known and products begin at 0.
+            group = ordered(group)
+            part = int(group[PART].iat[0])
+            known = states.get(part)
+            state = (0.0,) * 5 if known is None else (known[0], known[1], 0.0, 0.0, 0.0)
+            last = {k: v[-1] for k, v in of_group(group, state).items()}
+            return pd.DataFrame({PART: [part], "n": [len(group)], "first_x": [float(group[x].iat[0])], "first_y": [float(group[y].iat[0])], **{k: [last[k]] for k in _FIELDS}})
+
+        states = _carried(parts, ends, alpha)
+        start = min(states, default=0)
+
+        def ranges(group: pd.DataFrame) -> pd.DataFrame:
+            group = ordered(group)
+            part = int(group[PART].iat[0])
+            return group.drop(columns=PART).assign(**{out: of(of_group(group, states[part]), part == start)})
+
+        found = parts.groupBy(PART).applyInPandas(ranges, schema)
+    # NaN comes back from pandas as null.
+    return found.withColumn(out, F.coalesce(out, F.lit(float("nan"))))
+
+
+def _without_first(values: np.ndarray, starts: bool) -> np.ndarray:
+    return np.where(starts & (np.arange(len(values)) == 0), np.nan, values)
 
 
 def ewm_mean(df: DataFrame, value: str, alpha: float, order_by: Sequence[str], partition_by: Sequence[str] = (), out: str = "ewm_mean") -> DataFrame:
-    a = _alpha(alpha)
-    return by_series(filter_missing(df, value), order_by, partition_by, {out: "double"}, lambda g: {out: _ewm(g[value].to_numpy(), a)})
+    return _weighted(filter_missing(df, value), value, value, _alpha(alpha), order_by, partition_by, out, lambda s, starts: s["mean"])
 
 
 def ewm_var(df: DataFrame, value: str, alpha: float, order_by: Sequence[str], partition_by: Sequence[str] = (), out: str = "ewm_var") -> DataFrame:
-    a = _alpha(alpha)
-    return by_series(filter_missing(df, value), order_by, partition_by, {out: "double"}, lambda g: {out: _ewm_var(g[value].to_numpy(), a)})
+    return _weighted(filter_missing(df, value), value, value, _alpha(alpha), order_by, partition_by, out, lambda s, starts: s["var"])
 
 
 def ewm_cov(
     df: DataFrame, x: str, y: str, alpha: float, order_by: Sequence[str], partition_by: Sequence[str] = (), lagged_mean: bool = False, out: str = "ewm_cov"
 ) -> DataFrame:
-    """Rows where either value is missing are left out of both."""
-    a, rows = _alpha(alpha), filter_missing(filter_missing(df, x), y)
-    return by_series(rows, order_by, partition_by, {out: "double"}, lambda g: {out: _ewm_cov(g[x].to_numpy(), g[y].to_numpy(), a, lagged_mean)})
+    """Rows where either value is missing are left out of both; NaN for the first row."""
+    rows = filter_missing(filter_missing(df, x), y)
+    return _weighted(rows, x, y, _alpha(alpha), order_by, partition_by, out, lambda s, starts: _without_first(s["cov"], starts), lagged_mean)
 
 
 def ewm_corr(df: DataFrame, x: str, y: str, alpha: float, order_by: Sequence[str], partition_by: Sequence[str] = (), out: str = "ewm_corr") -> DataFrame:
     """Covariance over the root of both variances; NaN for the first row and where a variance is 0."""
-    a, rows = _alpha(alpha), filter_missing(filter_missing(df, x), y)
 
-    def corr(g: pd.DataFrame) -> dict[str, np.ndarray]:
-        one, two = g[x].to_numpy(), g[y].to_numpy()
-        under = np.sqrt(_ewm_var(one, a) * _ewm_var(two, a))
-        cov = _ewm_cov(one, two, a, False)
-        return {out: np.where(under > 0, cov / np.where(under > 0, under, 1), np.nan)}
+    def corr(s: dict[str, np.ndarray], starts: bool) -> np.ndarray:
+        under = np.sqrt(s["var"] * s["var_y"])
+        return _without_first(np.where(under > 0, s["cov"] / np.where(under > 0, under, 1), np.nan), starts)
 
-    return by_series(rows, order_by, partition_by, {out: "double"}, corr)
+    return _weighted(filter_missing(filter_missing(df, x), y), x, y, _alpha(alpha), order_by, partition_by, out, corr)

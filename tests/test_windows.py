@@ -78,3 +78,22 @@ def test_exponential(spark):
     near(column(w.ewm_cov(df, "x", "y", a, ["i"], lagged_mean=True), "ewm_cov")[:2], [NAN, a * (2.0 - 1.0) * (1.0 - 2.0)])
     with pytest.raises(ValueError):
         w.ewm_mean(df, "x", 0.0, ["i"])
+
+
+def test_weighted_series_over_many_ranges(spark):
+    """One long series without keys is scanned in ranges; the same rows under one key are scanned whole."""
+    rng = np.random.default_rng(3)
+    rows = [(1, i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(5, 2, (500, 2)))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k int, i long, x double, y double").repartition(8)
+        for fn, names in ((w.ewm_mean, ["x"]), (w.ewm_var, ["x"]), (w.ewm_cov, ["x", "y"]), (w.ewm_corr, ["x", "y"])):
+            out = fn.__name__
+            many = [r[out] for r in fn(df, *names, 0.1, ["i"]).orderBy("i").collect()]
+            whole = [r[out] for r in fn(df, *names, 0.1, ["i"], ["k"]).orderBy("i").collect()]
+            assert len(many) == 500 and np.allclose(many, whole, equal_nan=True)
+        lagged = [r["c"] for r in w.ewm_cov(df, "x", "y", 0.1, ["i"], lagged_mean=True, out="c").orderBy("i").collect()]
+        assert np.allclose(lagged, [r["c"] for r in w.ewm_cov(df, "x", "y", 0.1, ["i"], ["k"], lagged_mean=True, out="c").orderBy("i").collect()], equal_nan=True)
+        assert w.ewm_mean(df.filter("i < 0"), "x", 0.1, ["i"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
