@@ -129,11 +129,11 @@ def _alpha(alpha: float) -> float:
 State = tuple[float, float, float, float, float]
 
 
-def _ewm(x: np.ndarray, alpha: float, y: float) -> np.ndarray:
-    """y[t] = alpha x[t] + (1 - alpha) y[t - 1], from the given y before the first."""
+def _ewm(x: np.ndarray, alpha: float, y: float | None) -> np.ndarray:
+    """y[t] = alpha x[t] + (1 - alpha) y[t - 1], from the given y before the first, or from x[0] itself."""
     out = np.empty(len(x))
     for t, v in enumerate(x.tolist()):
-        y = alpha * v + (1 - alpha) * y
+        y = v if y is None else alpha * v + (1 - alpha) * y
         out[t] = y
     return out
 
@@ -141,15 +141,16 @@ def _ewm(x: np.ndarray, alpha: float, y: float) -> np.ndarray:
 def _scanned(x: np.ndarray, y: np.ndarray, alpha: float, state: State | None, lagged: bool) -> dict[str, np.ndarray]:
     """Weighted means, variances and covariance after each row; without a state the first row starts the series.
 
-    Products are of residuals about the current, or the preceding, weighted means; a
-    residual about the current one is that about the preceding one times 1 - alpha.
+    Products are of residuals about the current weighted means, with ``lagged`` about
+    the preceding ones for the covariance.
     """
-    mx, my, vx, vy, cov = state or (float(x[0]), float(y[0]), 0.0, 0.0, 0.0)
+    mx, my, vx, vy, cov = state or (None, None, 0.0, 0.0, 0.0)
     means = _ewm(x, alpha, mx), _ewm(y, alpha, my)
-    rx, ry = (v - np.concatenate(([start], m[:-1])) for v, m, start in zip((x, y), means, (mx, my), strict=True))
-    part = (1 - alpha) ** 2
-    found = {"mean": means[0], "mean_y": means[1], "var": _ewm(part * rx * rx, alpha, vx), "var_y": _ewm(part * ry * ry, alpha, vy)}
-    found["cov"] = _ewm(rx * ry if lagged else part * rx * ry, alpha, cov)
+    rx, ry = x - means[0], y - means[1]
+    found = {"mean": means[0], "mean_y": means[1], "var": _ewm(rx * rx, alpha, vx), "var_y": _ewm(ry * ry, alpha, vy)}
+    if lagged:
+        rx, ry = (v - np.concatenate(([v[0] if start is None else start], m[:-1])) for v, m, start in zip((x, y), means, (mx, my), strict=True))
+    found["cov"] = _ewm(rx * ry, alpha, cov)
     return found
 
 
@@ -217,7 +218,7 @@ def _weighted(df: DataFrame, x: str, y: str, alpha: float, order_by: Sequence[st
         def ranges(group: pd.DataFrame) -> pd.DataFrame:
             group = ordered(group)
             part = int(group[PART].iat[0])
-            return group.drop(columns=PART).assign(**{out: of(of_group(group, states[part]), part == start)})
+            return group.drop(columns=PART).assign(**{out: of(of_group(group, None if part == start else states[part]), part == start)})
 
         found = parts.groupBy(PART).applyInPandas(ranges, schema)
     # NaN comes back from pandas as null.
