@@ -203,9 +203,14 @@ _AT = {Method.POLYNOMIAL: lagrange_at, Method.SPLINE: spline_at, Method.TIME: li
 def interpolated(x: np.ndarray, y: np.ndarray, method: Method, degree: int, precision: int | None) -> np.ndarray:
     """``y`` with gaps filled from the ``degree + 1`` known points nearest by ``x``; ``linear`` draws its lines over row numbers."""
     known = np.flatnonzero(~np.isnan(y))
-    out = y.copy()
+    known = known[np.argsort(x[known], kind="stable")]
+    places_of, out, k = x[known], y.copy(), degree + 1
     for i in np.flatnonzero(np.isnan(y)):
-        near = known[np.argsort(np.abs(x[known] - x[i]), kind="stable")[: degree + 1]]
+        j = int(np.searchsorted(places_of, x[i]))
+        # The k on either side hold the k nearest; those at the same place as the furthest may be ahead of it.
+        low = int(np.searchsorted(places_of, places_of[max(0, j - k)])) if len(known) else 0
+        near = np.sort(known[low : j + k])
+        near = near[np.argsort(np.abs(x[near] - x[i]), kind="stable")[:k]]
         near = near[np.argsort(x[near], kind="stable")]
         at, places = (float(i), near.astype(float)) if method is Method.LINEAR else (x[i], x[near])
         if not len(near):
