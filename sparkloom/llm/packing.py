@@ -194,16 +194,26 @@ def best_fit(items: list[int], lengths: list[int], capacity: int, bins: list[lis
 
 
 def improved(items: list[int], lengths: list[int], capacity: int, bins: list[list[int]]) -> list[int]:
-    """Fill bins up by trading a longer loose item for a shorter one inside; what is loose afterwards."""
+    """Fill bins up by trading a longer loose item for a shorter one inside; what is loose afterwards.
+
+    The trade that fills a bin best is found by search in the sorted lengths of the loose.
+    """
     loose = sorted(items, key=lambda i: -lengths[i])
+    known = sorted((lengths[u], -x) for x, u in enumerate(loose))
     for b in bins:
         room = capacity - sum(lengths[i] for i in b)
-        if not room or not loose:
+        if not room or not known:
             continue
-        best = max(((lengths[u] - lengths[v], -x, -y) for x, u in enumerate(loose) for y, v in enumerate(b) if 0 < lengths[u] - lengths[v] <= room), default=None)
-        if best is not None:
+        best = (0, 0, 0)
+        for y, v in enumerate(b):
+            at = bisect_left(known, (lengths[v] + room, 1)) - 1
+            if at >= 0 and known[at][0] > lengths[v]:
+                best = max(best, (known[at][0] - lengths[v], known[at][1], -y))
+        if best[0]:
             x, y = -best[1], -best[2]
+            known.pop(bisect_left(known, (lengths[loose[x]], -x)))
             loose[x], b[y] = b[y], loose[x]
+            insort(known, (lengths[loose[x]], -x))
     return loose
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from sparkloom.llm.packing import MARKS, WordTokens, best_fit, crossover, default_tokenizer, evolve, lower_bound, mutate, pack_documents, pack_lengths
+from sparkloom.llm.packing import MARKS, WordTokens, best_fit, crossover, default_tokenizer, evolve, improved, lower_bound, mutate, pack_documents, pack_lengths
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +86,34 @@ def test_evolution_beats_best_fit():
     valid(mutate(child, lengths, 100, rng), 120, lengths, 100)
 
 
+def test_trades():
+    """The best trade by comparing all, and found without comparing all."""
+    for seed in range(200):
+        rng = random.Random(seed)
+        lengths = [rng.randint(1, 30) for _ in range(30)]
+        bins, loose = best_fit(list(range(20)), lengths, 30), sorted(range(20, 30), key=lambda i: -lengths[i])
+        want = [list(b) for b in bins]
+        for b in want:
+            room = 30 - sum(lengths[i] for i in b)
+            trades = [(lengths[u] - lengths[v], -x, -y) for x, u in enumerate(loose) for y, v in enumerate(b) if 0 < lengths[u] - lengths[v] <= room]
+            if trades:
+                _, x, y = max(trades)
+                loose[-x], b[-y] = b[-y], loose[-x]
+        assert improved(list(range(20, 30)), lengths, 30, bins) == loose and bins == want
+
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            self.reads += 1
+            return super().__getitem__(i)
+
+    rng = random.Random(1)
+    lengths = Counted(rng.randint(1000, 1600) for _ in range(4000))
+    improved(list(range(2000, 4000)), lengths, 4096, [[i, i + 1] for i in range(0, 2000, 2)])
+    assert lengths.reads < 20 * 4000  # all pairs are four million
+
+
 def test_islands(spark):
     rng = np.random.default_rng(7)
     lengths = []
