@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkloom.llm.text import words_column
-from sparkloom.plans import written
+from sparkloom.plans import settled, written
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -172,10 +172,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without words among them, are left out.  Rows alike in id and text share what is
     taken of them, rounded down.
     """
-    mix = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    taken = mix.taken().groupBy(F.col("doc_id").alias("__its_id"), F.col("tie").alias("__its_tie"), F.col("idx").alias("__its_idx"), F.col("size").alias("__its_size"))
-    taken = taken.agg(F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("__its_taken")).filter("__its_taken > 0")
-    taken = taken.join(mix.targets.select(F.col("idx").alias("__its_idx"), F.col("source").alias("__its_source")), "__its_idx")
+    def what_is_taken() -> DataFrame:
+        mix = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+        taken = mix.taken().groupBy(F.col("doc_id").alias("__its_id"), F.col("tie").alias("__its_tie"), F.col("idx").alias("__its_idx"), F.col("size").alias("__its_size"))
+        taken = taken.agg(F.floor(F.sum("taken") / F.count(F.lit(1))).cast("long").alias("__its_taken")).filter("__its_taken > 0")
+        return taken.join(mix.targets.select(F.col("idx").alias("__its_idx"), F.col("source").alias("__its_source")), "__its_idx")
+
+    taken = settled(what_is_taken, "mix-taken")
     same = docs[id_col].eqNullSafe(F.col("__its_id")) & (F.xxhash64(docs[text_col]) == F.col("__its_tie")) & docs[source_col].eqNullSafe(F.col("__its_source"))
     passes, rest = F.floor(F.col("__its_taken") / F.col("__its_size")), F.col("__its_taken") % F.col("__its_size")
     # One entry a copy: -1 for a whole text, else how many of its words.

@@ -19,7 +19,7 @@ Copies share a fingerprint and are gathered by hash aggregation before the index
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
+from sparkloom.llm.lookup import stored_keys, those_known
 from sparkloom.llm.text import in_pieces, words_of
-from sparkloom.plans import written
+from sparkloom.plans import settled, written
 
 BYTES = 8
 
@@ -203,19 +204,23 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def kept_of(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def kept_of(docs: DataFrame, groups: Callable[[], DataFrame], id_col: str, text_col: str) -> DataFrame:
     """The row of each component's least id, with all columns of ``docs``; of rows that repeat it, one.
 
-    ``groups`` has doc_id and component_id.  Rows without an id stay, but for copies of
-    the same text among them.
+    ``groups`` gives doc_id and component_id; what it stores for them is deleted.  Rows without an id stay, but for copies of the same text among them.  Only
+    repeated rows are shuffled.
     """
-    least = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    least = written(least.withColumnRenamed("doc_id", "__kept_id"), "simhash-kept")
-    of = lambda keys: docs.join(keys.select("__kept_id"), docs[id_col] == keys["__kept_id"], "left_semi")
-    alone, repeated = of(least.filter("n = 1")), of(least.filter("n > 1")).dropDuplicates([id_col])
-    return alone.union(repeated).union(docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    own = lambda: groups().filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    least = settled(own, "simhash-kept").select(F.col("doc_id").alias("key"), "n")
+    named = docs.withColumn("__its_key", F.col(id_col).cast("long"))
+    out = docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col])
+    for some, repeated in ((least.filter("n = 1"), False), (least.filter("n > 1"), True)):
+        if n := some.count():
+            kept = those_known(named, stored_keys(some.select("key"), n), "__its_key")
+            out = out.union(kept.dropDuplicates([id_col]) if repeated else kept)
+    return out
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document, that of the least id, of each component of fingerprints; see ``kept_of``."""
-    return kept_of(docs, simhash_components(docs, shingle, bits, id_col, text_col), id_col, text_col)
+    return kept_of(docs, lambda: simhash_components(docs, shingle, bits, id_col, text_col), id_col, text_col)
