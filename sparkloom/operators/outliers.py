@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sparkloom.functions.missing import number
-from sparkloom.plans import with_ordinal, written
+from sparkloom.plans import sliding, with_ordinal, written
 
 
 def outlier_iqr(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
@@ -53,6 +53,18 @@ def _distance(left: Sequence[Column], right: Sequence[Column]) -> Column:
     return F.when(shared, F.sqrt(total))
 
 
+def _pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int) -> DataFrame:
+    """Every row of ``left`` beside every row of ``right``, in tasks of about 40 million pairs whose number AQE leaves alone."""
+    a, b = -(-n_left // 2000) or 1, -(-n_right // 20_000) or 1
+    tasks = min(a * b, 4096)
+
+    def dealt(df: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        place = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+        return df.withColumns({own: place, other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))}).repartition(tasks, "__a", "__b")
+
+    return dealt(left, "__a", a, "__b", b).join(dealt(right, "__b", b, "__a", a), ["__a", "__b"]).drop("__a", "__b")
+
+
 def knn_impute(df: DataFrame, features: Sequence[str], targets: Sequence[str], k: int = 5, row_id: str | None = None, max_pairs: int = 2_000_000_000) -> DataFrame:
     """Fills gaps of the targets with the mean of the k nearest rows that know them.
 
@@ -80,31 +92,69 @@ def knn_impute(df: DataFrame, features: Sequence[str], targets: Sequence[str], k
     return result.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
-def local_outlier_factor(df: DataFrame, columns: Sequence[str], k: int = 20, row_id: str | None = None, max_rows: int = 50_000) -> DataFrame:
+def _near_on_line(points: DataFrame, x: str, need: int, total: int) -> DataFrame:
+    """(a, b, d, n, kdist): of every point of a line those within its ``need``-th distance, points counted ``n`` times.
+
+    Each of the ``need`` places on either side counts once at least, so no further ones
+    are nearer.  Where rounding makes even those tie with it, all points are compared.
+    """
+    both = sliding(points, [x], need, need, lambda w: {"__near": F.collect_list(F.struct(F.col(x).alias("b"), "n")).over(w)})
+    spread = F.array_sort(F.transform("__near", lambda p: F.struct(F.abs(F.col(x) - p["b"]).alias("d"), p["b"].alias("b"), p["n"].alias("n"))))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0.0).alias("d"))
+    reach = F.aggregate("__near", start, lambda s, p: F.when(s["seen"] < need, F.struct((s["seen"] + p["n"]).alias("seen"), p["d"].alias("d"))).otherwise(s), lambda s: s["d"])
+    # On a side that has ``need`` others the last of them must be out of reach.
+    sides = [F.filter("__near", lambda p: p["b"] < F.col(x)), F.filter("__near", lambda p: p["b"] > F.col(x))]
+    tied = F.lit(False)
+    for side in sides:
+        tied = tied | ((F.size(side) >= need) & (F.element_at(side, -1)["d"] <= F.col("kdist")))
+    found = written(both.withColumn("__near", spread).withColumn("kdist", reach).withColumn("tied", tied), "lof-line")
+    near = found.filter("not tied").select(F.col(x).alias("a"), "kdist", F.explode(F.filter("__near", lambda p: p["d"] <= F.col("kdist"))).alias("p"))
+    near = near.select("a", "p.b", "p.d", "p.n", "kdist")
+    rest = found.filter("tied").select(F.col(x).alias("a"), "kdist")
+    n_rest = rest.count()
+    if not n_rest:
+        return near
+    pairs = _pairs(rest, points.select(F.col(x).alias("b"), "n"), n_rest, total).withColumn("d", F.abs(F.col("a") - F.col("b"))).filter("d <= kdist")
+    return near.union(pairs.select("a", "b", "d", "n", "kdist"))
+
+
+def _near_in_space(points: DataFrame, x: Sequence[str], need: int, total: int) -> DataFrame:
+    """The same of points with several coordinates (a and b are structs): all distances, twice."""
+    a, b = points.select(F.struct(*x).alias("a")), points.select(F.struct(*x).alias("b"), "n")
+    d = _distance([F.col(f"a.{c}") for c in x], [F.col(f"b.{c}") for c in x])
+    pairs = _pairs(a, b, total, total).withColumn("d", d)
+    order = W.partitionBy("a").orderBy("d", "b")
+    ranked = pairs.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= need)
+    ranked = ranked.withColumn("seen", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    reach = written(ranked.filter(F.col("seen") >= need).groupBy("a").agg(F.min("d").alias("kdist")), "lof-reach")
+    return _pairs(reach, b, total, total).withColumn("d", d).filter("d <= kdist").select("a", "b", "d", "n", "kdist")
+
+
+def local_outlier_factor(df: DataFrame, columns: Sequence[str], k: int = 20, row_id: str | None = None, max_rows: int | None = None) -> DataFrame:
     """Adds ``lof``: mean density of a row's neighbourhood over its own; NaN for rows with a gap.
 
     The neighbourhood holds all rows, the row itself among them, within the distance
-    of the k-th other; ties stay.  All distances are needed, so over ``max_rows`` rows is an error.
+    of the k-th other; ties stay.  Rows with the same values count as one point, as often
+    as they occur; where all of a neighbourhood are equal its density is infinite.  One
+    column is looked through in its order; of more, all distances of points are needed.
+    Over ``max_rows`` rows is an error.  ``row_id`` isn't needed.
     """
-    rows = df.withColumn("__id", F.col(row_id)) if row_id else with_ordinal(df, df.columns, "__id")
     x = [f"__x{i}" for i in range(len(columns))]
-    rows = rows.withColumns({n: number(df, c) for n, c in zip(x, columns, strict=True)})
-    whole = rows.select("__id", *x)
+    rows = df.withColumns({n: number(df, c) for n, c in zip(x, columns, strict=True)})
+    whole = rows.select(*x)
     for n in x:
         whole = whole.filter(F.col(n).isNotNull())
-    whole = written(whole, "lof-rows")
-    m = whole.count()
-    if m > max_rows:
+    points = written(whole.groupBy(*x).agg(F.count(F.lit(1)).alias("n")), "lof-points")
+    m, total = points.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if max_rows is not None and m > max_rows:
         raise ValueError(f"{m} rows; at most {max_rows}")
-    blocks = max(1, min(64, m // 500))
-    a = whole.select(F.col("__id").alias("a"), *[F.col(n).alias(f"{n}a") for n in x]).withColumn("__b", F.pmod(F.xxhash64("a"), F.lit(blocks)))
-    b = whole.select(F.col("__id").alias("b"), *x).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    pairs = a.join(b, "__b").select("a", "b", _distance([F.col(f"{n}a") for n in x], [F.col(n) for n in x]).alias("d"))
-    ranked = pairs.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("d", "b")))
-    reach = written(ranked.filter(F.col("r") == min(k, m - 1) + 1).select("a", F.col("d").alias("kdist")), "lof-reach")
-    near = written(pairs.join(reach, "a").filter("d <= kdist").select("a", "b", "d"), "lof-near")
-    spread = near.join(reach.select(F.col("a").alias("b"), F.col("kdist").alias("kb")), "b")
-    density = spread.groupBy("a").agg((F.count(F.lit(1)) / F.sum(F.greatest("kb", "d"))).alias("lrd"))
-    others = near.join(density.select(F.col("a").alias("b"), F.col("lrd").alias("lb")), "b").groupBy("a").agg(F.avg("lb").alias("around"))
-    factor = others.join(density, "a").select(F.col("a").alias("__id"), (F.col("around") / F.col("lrd")).alias("lof"))
-    return rows.join(factor, "__id", "left").select(*df.columns, F.coalesce("lof", F.lit(float("nan"))).alias("lof"))
+    need = max(1, min(k, m - 1) + 1)
+    near = written(_near_on_line(points, x[0], need, total) if len(x) == 1 else _near_in_space(points, x, need, total), "lof-near")
+    reach = near.groupBy("a").agg(F.first("kdist").alias("kb"))
+    spread = near.join(reach.withColumnRenamed("a", "b"), "b")
+    held, sum_ = F.sum("n"), F.sum(F.col("n") * F.greatest("kb", "d"))
+    density = written(spread.groupBy("a").agg(F.when(sum_ == 0, F.lit(float("inf"))).otherwise(held / sum_).alias("lrd")), "lof-density")
+    around = near.join(density.select(F.col("a").alias("b"), F.col("lrd").alias("lb")), "b").groupBy("a").agg((F.sum(F.col("n") * F.col("lb")) / F.sum("n")).alias("around"))
+    factor = around.join(density, "a").select("a", F.try_divide("around", "lrd").alias("lof"))
+    factor = factor.select(*[(F.col("a") if len(x) == 1 else F.col(f"a.{n}")).alias(n) for n in x], "lof")
+    return rows.join(factor, x, "left").select(*df.columns, F.coalesce("lof", F.lit(float("nan"))).alias("lof"))

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import outliers as o
 from sparkloom.operators import signal as s
@@ -150,3 +151,28 @@ def test_signal(spark):
     assert s.fft(times.limit(1), "t", "v").count() == 0
     with pytest.raises(ValueError):
         s.convolve(df, "x", "y", ["i"], max_rows=2)
+
+
+def brute_lof(points, k):
+    """LOF by all distances, as the reference has it; infinite where a neighbourhood has no extent."""
+    dist = [[math.dist(a, b) for b in points] for a in points]
+    reach = [sorted(d)[min(k, len(points) - 1)] for d in dist]
+    near = [[j for j, x in enumerate(d) if x <= r] for d, r in zip(dist, reach, strict=True)]
+    sums = [sum(max(reach[j], dist[i][j]) for j in n) for i, n in enumerate(near)]
+    lrd = [len(n) / s if s else math.inf for n, s in zip(near, sums, strict=True)]
+    return [NAN if lrd[i] == math.inf and any(lrd[j] == math.inf for j in n) else sum(lrd[j] for j in n) / len(n) / lrd[i] for i, n in enumerate(near)]
+
+
+def test_lof_counts_equal_rows_and_needs_no_limit(spark):
+    v = [(i * i * 7919 % 1009) / 100 for i in range(150)] + [3.25] * 9 + [1e17, 1e17 + 64, 0.0, -0.0] + [50.0 + i for i in range(12)]
+    got = column(o.local_outlier_factor(numbered(spark, v), ["v"], 4), "lof")
+    for x, y in zip(got, brute_lof([(x,) for x in v], 4), strict=True):
+        assert x == pytest.approx(y, rel=1e-9, nan_ok=True)
+    flat = [((i * 37 % 11) / 2, (i * 53 % 7) / 4) for i in range(90)] + [(2.0, 2.0)] * 6
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(flat)], "i long, p double, q double")
+    got = [r["lof"] for r in o.local_outlier_factor(df, ["p", "q"], 3).orderBy("i").collect()]
+    for x, y in zip(got, brute_lof(flat, 3), strict=True):
+        assert x == pytest.approx(y, rel=1e-9, nan_ok=True)
+    many = spark.range(50_001).select((F.col("id") * 7919 % 50_001).cast("double").alias("v"))
+    lof = o.local_outlier_factor(many, ["v"], 5)
+    assert lof.count() == 50_001 and lof.filter("abs(lof - 1) > 0.5").count() == 0
