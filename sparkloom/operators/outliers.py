@@ -65,29 +65,34 @@ def _pairs(left: DataFrame, right: DataFrame, n_left: int, n_right: int) -> Data
     return dealt(left, "__a", a, "__b", b).join(dealt(right, "__b", b, "__a", a), ["__a", "__b"]).drop("__a", "__b")
 
 
-def knn_impute(df: DataFrame, features: Sequence[str], targets: Sequence[str], k: int = 5, row_id: str | None = None, max_pairs: int = 2_000_000_000) -> DataFrame:
+def knn_impute(df: DataFrame, features: Sequence[str], targets: Sequence[str], k: int = 5, row_id: str | None = None, max_pairs: int | None = None) -> DataFrame:
     """Fills gaps of the targets with the mean of the k nearest rows that know them.
 
     Nearness is over features present in both rows; ties go to the smaller ``row_id``.
-    Every gap is compared with every known row, so the number of such pairs is counted
-    first and must not pass ``max_pairs``; gaps and rows are dealt in blocks.
+    Gaps of equal features have the same neighbours, and of known rows of equal features
+    only the first k can be among them: so all different features of gaps are compared
+    with those of known rows, k times at most.  More pairs than ``max_pairs`` are an error.
     """
     rows = df.withColumn("__id", F.col(row_id)) if row_id else with_ordinal(df, df.columns, "__id")
     rows = written(rows.withColumns({f"__f{i}": number(df, f) for i, f in enumerate(features)} | {f"__t{i}": number(df, t) for i, t in enumerate(targets)}), "knn-rows")
     f = [f"__f{i}" for i in range(len(features))]
+    g = [f"{c}g" for c in f]
     result = rows
     for i, target in enumerate(targets):
-        gaps, known = rows.filter(F.col(f"__t{i}").isNull()), rows.filter(F.col(f"__t{i}").isNotNull())
+        gaps = written(rows.filter(F.col(f"__t{i}").isNull()).select(*[F.col(c).alias(d) for c, d in zip(f, g, strict=True)]).distinct(), "knn-gaps")
+        first = F.row_number().over(W.partitionBy(*f).orderBy("__id"))
+        known = rows.filter(F.col(f"__t{i}").isNotNull()).select("__id", F.col(f"__t{i}").alias("__known"), *f)
+        known = written(known.withColumn("__r", first).filter(F.col("__r") <= k).drop("__r"), "knn-known")
         n_gaps, n_known = gaps.count(), known.count()
-        if n_gaps * n_known > max_pairs:
+        if max_pairs is not None and n_gaps * n_known > max_pairs:
             raise ValueError(f"{n_gaps} gaps and {n_known} known rows of {target} make more than {max_pairs} pairs")
-        blocks = max(1, min(64, n_gaps // 1000))
-        left = gaps.select(F.col("__id").alias("__gap"), *[F.col(c).alias(f"{c}g") for c in f]).withColumn("__b", F.pmod(F.xxhash64("__gap"), F.lit(blocks)))
-        right = known.select("__id", F.col(f"__t{i}").alias("__known"), *f).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = left.join(right, "__b").withColumn("__d", _distance([F.col(f"{c}g") for c in f], [F.col(c) for c in f])).filter("__d is not null")
-        near = pairs.withColumn("__r", F.row_number().over(W.partitionBy("__gap").orderBy("__d", "__id"))).filter(F.col("__r") <= k)
-        means = near.groupBy(F.col("__gap").alias("__id")).agg(F.avg("__known").alias(f"__m{i}"))
-        result = result.join(means, "__id", "left")
+        pairs = _pairs(gaps, known, n_gaps, n_known).withColumn("__d", _distance([F.col(c) for c in g], [F.col(c) for c in f])).filter("__d is not null")
+        near = pairs.withColumn("__r", F.row_number().over(W.partitionBy(*g).orderBy("__d", "__id"))).filter(F.col("__r") <= k)
+        means = near.groupBy(*g).agg(F.avg("__known").alias(f"__m{i}"))
+        same = F.lit(True)
+        for c, d in zip(f, g, strict=True):
+            same = same & F.col(c).eqNullSafe(F.col(d))
+        result = result.join(means, same, "left").drop(*g)
     filled = {t: F.coalesce(F.col(f"__t{i}"), F.col(f"__m{i}")) for i, t in enumerate(targets)}
     return result.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 

@@ -176,3 +176,21 @@ def test_lof_counts_equal_rows_and_needs_no_limit(spark):
     many = spark.range(50_001).select((F.col("id") * 7919 % 50_001).cast("double").alias("v"))
     lof = o.local_outlier_factor(many, ["v"], 5)
     assert lof.count() == 50_001 and lof.filter("abs(lof - 1) > 0.5").count() == 0
+
+
+def test_knn_looks_up_equal_features_once(spark):
+    rows = [(i, None if i % 11 == 0 else float(i * 7 % 5), None if i % 6 == 0 else float(i * 3 % 4), float(i) if i % 3 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "i long, p double, q double, t double")
+
+    def filled(r):
+        def apart(o):
+            return [(a - b) ** 2 for a, b in zip(r[1:3], o[1:3], strict=True) if a is not None and b is not None]
+
+        some = sorted((math.sqrt(sum(d)), o[0], o[3]) for o in rows if o[3] is not None and (d := apart(o)))[:4]
+        return r[3] if r[3] is not None else sum(x[2] for x in some) / len(some) if some else None
+
+    assert column(o.knn_impute(df, ["p", "q"], ["t"], 4, "i"), "t") == [pytest.approx(f) if (f := filled(r)) is not None else None for r in rows]
+    many = spark.range(100_000).select(F.col("id").alias("i"), (F.col("id") % 25).alias("p"), F.when(F.col("id") % 2 == 0, F.col("id")).cast("double").alias("t"))
+    found = o.knn_impute(many, ["p"], ["t"], 5, "i")  # 2.5 billion pairs of rows
+    assert found.count() == 100_000 and found.filter("t is null").count() == 0
+    assert found.filter("i = 99999").first()["t"] == 124  # 24, 74, 124, 174, 224 are its kin
